@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import language_id, line_dedup, sentencepiece_codec, simhash
+from corvina.llm import language_id, line_dedup, sentencepiece_codec, simhash, suffix_dedup, warc
 from corvina.llm.common import table
 
 
@@ -43,8 +43,18 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_language_id, op5_sentencepiece, op6_simhash)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_language_id, op5_sentencepiece, op6_simhash, op7_warc, op10_suffix_dedup)}
 
 
 OP2 = r"""
@@ -59,5 +69,31 @@ from marked group by doc_id
 """
 
 
+OP7 = r"""
+with p as (select page_id, encode(coalesce(html, '')) as body, sha1(encode(coalesce(html, ''))) as hexes from pages),
+first as (select hexes, min(page_id) as least from p group by hexes)
+select page_id, octet_length(body)::bigint as payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(hexes, 1 + 5 * (i // 4), 5))::bigint >> (5 * (3 - i % 4))) & 31) + 1)::bigint, 1)), 'string_agg', '') as payload_digest,
+  case when page_id = least then 'response' else 'revisit' end as record_type,
+  case when page_id <> least then least end as refers_to
+from p join first using (hexes)
+"""
+
+OP10 = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, i, md5(substr(h, 2 * i + 1, 400)) as s from d, unnest(range(0, length(h) // 2 - 199)) as t(i)),
+often as (select s from w group by s having count(*) > 1),
+hit as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from w where s in (select s from often)),
+island as (select doc_id, i, sum(case when before is null or i > before + 200 then 1 else 0 end) over (partition by doc_id order by i) as k from hit),
+span as (select doc_id, k, min(i) as lo, max(i) + 200 as hi from island group by doc_id, k),
+gap as (select doc_id, hi as lo, lead(lo) over (partition by doc_id order by lo) as hi from span union all select doc_id, 0, min(lo) from span group by doc_id),
+kept as (select g.doc_id, string_agg(substr(h, 2 * g.lo + 1, 2 * (coalesce(g.hi, length(h) // 2) - g.lo)), '' order by g.lo) as h from gap g join d on g.doc_id = d.doc_id group by g.doc_id),
+cut as (select doc_id, sum(hi - lo) as n_removed, count(*) as n_spans from span group by doc_id)
+select d.doc_id, (length(d.h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256
+from d left join cut on d.doc_id = cut.doc_id left join kept on d.doc_id = kept.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2}
+    return {"op2_line_dedup": OP2, "op7_warc": OP7, "op10_suffix_dedup": OP10}
