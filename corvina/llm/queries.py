@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import language_id, line_dedup, sentencepiece_codec, simhash, suffix_dedup, warc
+from corvina.llm import decontamination, language_id, license_scan, line_dedup, quality_rules, quotation_links, sentencepiece_codec, simhash, suffix_dedup, warc
 from corvina.llm.common import table
 
 
@@ -17,6 +17,10 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup(docs, min_docs=10, min_chars=1)
@@ -34,6 +38,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), pieces, languages, p).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).withColumn("licenses", F.array_join("licenses", " "))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model_path()))
 
@@ -48,13 +56,25 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation_links.link(table(spark, sf_dir, "conversations"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_language_id, op5_sentencepiece, op6_simhash, op7_warc, op10_suffix_dedup)}
+    return {f.__name__: f for f in (
+        op1_decontamination, op2_line_dedup, op3_language_id, op4_license_scan, op5_sentencepiece,
+        op6_simhash, op7_warc, op8_quotation_links, op9_quality_rules, op10_suffix_dedup,
+    )}
 
 
 OP2 = r"""

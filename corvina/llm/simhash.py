@@ -53,14 +53,14 @@ def fingerprint(data: bytes | None, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long. No shuffle."""
+    """(doc_id, th, fp): th is a hash of the text; fp holds the 64 bits as a signed long. No shuffle."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None, words, seed) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None, words, seed) for x in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(apply, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text")).mapInArrow(apply, "doc_id long, th long, fp long")
 
 
 def syndrome(words: np.ndarray) -> np.ndarray:
@@ -171,11 +171,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, seed: int = 42, bits: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs."""
+    """(doc_id, th, fp, component_id, root) for each row of docs; root names the component also where ids are null."""
     by_doc = cut(fingerprints(docs, doc_id, text, words, seed))
     fps = cut(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(fps, bits, bucket))
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = rooted.join(named, "root").select("fp", "component_id")
-    return by_doc.join(final, "fp").select("doc_id", "fp", "component_id")
+    final = rooted.join(named, "root").select("fp", "component_id", "root")
+    return by_doc.join(final, "fp").select("doc_id", "th", "fp", "component_id", "root")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
+    """The rows of docs with the least id of their component (null ids last, then the least hash of the text); of rows
+    equal in both, one. The texts are shuffled once."""
+    key = F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("th").alias("h"))
+    kept = near_duplicates(docs, doc_id, text, **how).groupBy("root").agg(F.min(key).alias("x")).select(F.col("x.z").alias("_z"), F.col("x.k").alias("_k"), F.col("x.h").alias("_h"))
+    rows = docs.withColumns({"_z": F.col(doc_id).isNull(), "_k": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "_h": F.xxhash64(F.col(text))})
+    return rows.join(kept, ["_z", "_k", "_h"], "left_semi").dropDuplicates(["_z", "_k", "_h"]).select(*docs.columns)
