@@ -51,7 +51,8 @@ def passages(messages: DataFrame) -> DataFrame:
 def units(text: Column, min_chars: int) -> Column:
     """Hashes of a text whole (0), by paragraph (1) and by line (2); the first kind of equal ones."""
     kinds = [F.array(text), F.split(text, r"\n[ \t]*\n"), F.split(text, "\n")]
-    every = F.flatten(F.array(*(F.transform(a, lambda x, k=k: F.struct(normal(x).alias("t"), F.lit(k).alias("kind"))) for k, a in enumerate(kinds))))
+    of_kind = lambda a, k: F.transform(a, lambda x: F.struct(normal(x).alias("t"), F.lit(k).alias("kind")))
+    every = F.flatten(F.array(*(of_kind(a, k) for k, a in enumerate(kinds))))
     return F.array_distinct(F.transform(F.filter(every, lambda x: F.length(x["t"]) >= min_chars), lambda x: F.struct(F.sha2(x["t"], 256).alias("hash"), x["kind"].alias("kind"))))
 
 
