@@ -14,15 +14,18 @@ handled; those over ``LONGEST`` characters aren't kept in the table. Empty table
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-LONGEST, ENTRIES = 64, 200_000
+#: Characters of a chunk and number of chunks that a table keeps; bytes of text that are looked up together.
+LONGEST, ENTRIES, TOGETHER = 64, 300_000, 1 << 20
 
 
 class ChunkCodec:
@@ -31,6 +34,7 @@ class ChunkCodec:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.vocab_size())]
+        self.pieces = [None if self.sp.is_byte(i) or self.sp.is_control(i) or self.sp.is_unknown(i) else p.replace(MARK, " ") for i, p in enumerate(pieces)]
         self.head = self.sp.encode("\n")
         self.separable = (
             not any(MARK in p.lstrip(MARK) or "\n" in p or " " in p for p in pieces)
@@ -39,41 +43,40 @@ class ChunkCodec:
             and self.sp.decode(self.head) == "\n"
             and self.sp.encode(" \n ") != self.sp.encode("\n")  # white space is kept
         )
-        self.eos = self.sp.eos_id().to_bytes(4, "little")
+        self.eos = array("i", [self.sp.eos_id()]).tobytes()
         self.entries, self.ids, self.text = entries, {}, {}
 
     def learn(self, chunks: Iterable[str], ids: dict, text: dict) -> None:
         """A line feed is put before each chunk, as the library adds a marker only at the start."""
         chunks, n = list(chunks), len(self.head)
         found = self.sp.encode(["\n" + c.replace(MARK, " ") for c in chunks], num_threads=1)
-        decoded = self.sp.decode(found, num_threads=1) if found else []
-        for c, x, t in zip(chunks, found, decoded, strict=True):
-            ids[c] = b"".join(i.to_bytes(4, "little") for i in x[n:])
-            text[c] = t[1:]
+        pieces = self.pieces
+        for c, x in zip(chunks, found, strict=True):
+            ids[c] = array("i", x[n:]).tobytes()
+            try:
+                text[c] = "".join([pieces[i] for i in x[n:]])
+            except TypeError:  # bytes, which the library puts together
+                text[c] = self.sp.decode(x)[1:]
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """For each text its ids as 32-bit integers, and the ids decoded."""
         if not self.separable:
             for t in texts:
                 x = self.sp.encode(t or "", add_eos=True)
-                yield b"".join(i.to_bytes(4, "little") for i in x), self.sp.decode(x)
+                yield array("i", x).tobytes(), self.sp.decode(x)
             return
-        for t in texts:
-            if not t:
-                yield self.eos, ""
-                continue
-            chunks = CHUNK.findall(MARK + t.replace(" ", MARK))
-            if new := {c for c in chunks if c not in self.ids}:
-                if len(self.ids) + len(new) > self.entries:
-                    self.ids.clear(), self.text.clear()
-                    new = set(chunks)
-                if len(new) > self.entries or any(len(c) > LONGEST for c in new):
-                    ids, text = {}, {}
-                    self.learn(set(chunks), ids, text)
-                    yield b"".join([*map(ids.__getitem__, chunks), self.eos]), "".join(map(text.__getitem__, chunks))[1:]
-                    continue
-                self.learn(new, self.ids, self.text)
-            yield b"".join([*map(self.ids.__getitem__, chunks), self.eos]), "".join(map(self.text.__getitem__, chunks))[1:]
+        chunked = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        new = set().union(*chunked).difference(self.ids)
+        if len(self.ids) + len(new) > self.entries:
+            self.ids.clear(), self.text.clear()
+            new = set().union(*chunked)
+        ids, text = self.ids, self.text
+        if len(new) > self.entries or max(map(len, new), default=0) > LONGEST:  # for these texts only
+            ids, text = dict(ids), dict(text)
+        if new:
+            self.learn(new, ids, text)
+        for chunks in chunked:
+            yield b"".join([*map(ids.__getitem__, chunks), self.eos]), "".join(map(text.__getitem__, chunks))[1:]
 
 
 def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", entries: int = ENTRIES) -> DataFrame:
@@ -86,23 +89,22 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
         codec = ChunkCodec(model.value, entries)
         names = ["doc_id", "ids", "decoded"]
 
-        def made(keys: list, ids: list, texts: list) -> pa.RecordBatch:
+        def made(keys: pa.Array, ids: tuple, texts: tuple) -> pa.RecordBatch:
             at, ends = 0, [0]
             for x in ids:
                 ends.append(at := at + len(x) // 4)
             flat = pa.Array.from_buffers(pa.int32(), at, [None, pa.py_buffer(b"".join(ids))])
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(texts, pa.string())], names)
+            return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(texts, pa.string())], names)
 
         for batch in batches:
-            keys, ids, texts, size = [], [], [], 0
-            for k, t in zip(batch.column(0), batch.column(1), strict=True):
-                for x, d in codec.encode([t.as_py()]):
-                    keys.append(k.as_py()), ids.append(x), texts.append(d)
-                    size += len(x) + len(d)
-                if size > 8_000_000:
-                    yield made(keys, ids, texts)
-                    keys, ids, texts, size = [], [], [], 0
-            yield made(keys, ids, texts)
+            column, start, size = batch.column(1), 0, 0
+            lengths = pc.binary_length(column).fill_null(0).to_pylist()
+            for end, n in enumerate(lengths, 1):
+                size += n
+                if size > TOGETHER or end == len(lengths):
+                    ids, texts = zip(*codec.encode(column.slice(start, end - start).to_pylist()), strict=True)
+                    yield made(batch.column(0).slice(start, end - start), ids, texts)
+                    start, size = end, 0
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(apply, "doc_id long, ids array<int>, decoded string")
 
