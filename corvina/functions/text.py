@@ -50,8 +50,9 @@ def search_norm(c: Column) -> Column:
 
 
 def occurrences(c: Column, term: str, most: int) -> Column:
-    """Occurrences of a term that don't overlap, counted up to a number."""
-    return F.least(F.lit(most), ((F.length(c) - F.length(F.replace(c, F.lit(term), F.lit("")))) / len(term)).cast("int"))
+    """Occurrences of a term that don't overlap, counted up to a number; 0 in null."""
+    n = ((F.length(c) - F.length(F.replace(c, F.lit(term), F.lit("")))) / len(term)).cast("int")
+    return F.least(F.lit(most), F.coalesce(n, F.lit(0)))
 
 
 def year_of(c: Column) -> Column:

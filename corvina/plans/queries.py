@@ -139,7 +139,7 @@ def qc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- search --------------------------------------------------------------------------------------------------------
 
 RANKED = search.SearchRequest(q="The and")
-SCOPED = search.SearchRequest(q="Solar", scope=True, sort="old", year_from=1990, src=frozenset({"1"}))
+SCOPED = search.SearchRequest(q="Solar", scope=True, sort="old", year_from=1990, src=frozenset({"0"}))
 BROWSED = search.SearchRequest(city="新北市", year_from=2000, shown=60)
 FACETED = search.SearchRequest(q="the", stage=frozenset({"國中", "高中職"}), domain=frozenset({"物理", "化學", "生物"}), award=frozenset({"top", "special"}), year_to=2020)
 LINES = "查證關鍵字：solar cell\nthe of and\n光合作用 zzzz\n螞蟻"
@@ -150,7 +150,7 @@ def search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(search.serving(works(spark, sf_dir)), RANKED).select("id", "score", "year", "core")
 
 
-@query(f"with {S.WORKS}, {S.parse('works', 'award_raw')}, {S.SERVING} select id, {S.points('solar', True)} as score, year from serving where type = '作品' and {S.points('solar', True)} > 0 and coalesce(year >= 1990, true) and src = '國際' order by year, id limit 30")
+@query(f"with {S.WORKS}, {S.parse('works', 'award_raw')}, {S.SERVING} select id, {S.points('solar', True)} as score, year from serving where type = '作品' and {S.points('solar', True)} > 0 and coalesce(year >= 1990, true) and src = '全國' order by year, id limit 30")
 def search_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(search.serving(works(spark, sf_dir)), SCOPED).select("id", "score", "year")
 
