@@ -110,8 +110,15 @@ def streamed(lines: DataFrame, policy: str, min_docs: int) -> DataFrame:
     """From lines in order: (h1, h2, doc, th, at, n, settled). Settled rows have positions to drop."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = Stream(policy, min_docs)
+        state, before = Stream(policy, min_docs), None
         for b in batches:
+            if not b.num_rows:
+                continue
+            # rows that repeat a document's id and text count once
+            keys = np.stack([b.column(i).fill_null(-(2**63)).to_numpy() for i in range(4)], 1)
+            new = np.concatenate([[before is None or (keys[0] != before).any()], (keys[1:] != keys[:-1]).any(1)])
+            before = keys[-1]
+            b = b.filter(pa.array(new))
             if not b.num_rows:
                 continue
             h = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)
@@ -186,11 +193,14 @@ def kept_text(data: bytes, bitmap: bytes | None) -> tuple[int, bytes]:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", policy: str = "threshold", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """docs with ``text`` less its dropped lines, and the columns ``_n_lines``, ``_n_dropped``. A document whose lines all
     go has the text ''; a null text stays null unless its empty line goes."""
+    docs = docs.drop("_n_lines", "_n_dropped")
     maps = bitmaps(drops(docs, doc_id, text, policy, min_docs, min_chars))
-    keyed = docs.withColumn("_doc", F.col(doc_id).cast("long")).withColumn("_th", F.xxhash64(F.col(text)))
-    joined = keyed.join(maps, keyed._doc.eqNullSafe(maps.doc) & (keyed._th == maps.th), "left").drop("_doc", "_th", "doc", "th")
     names = docs.columns
     at, end = names.index(text), len(names)
+    own = [f"c{i}" for i in range(end)]  # whatever the columns are called
+    keyed = docs.toDF(*own)
+    keyed = keyed.withColumns({"_doc": F.col(own[names.index(doc_id)]).cast("long"), "_th": F.xxhash64(F.col(own[at]))})
+    joined = keyed.join(maps, keyed._doc.eqNullSafe(maps.doc) & (keyed._th == maps.th), "left")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,4 +213,4 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", policy: s
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), b.column(end).fill_null(0)], [*names, "_n_lines", "_n_dropped"])
 
     schema = docs.withColumns({"_n_lines": F.lit(0).cast("long"), "_n_dropped": F.lit(0).cast("long")}).schema
-    return joined.select(*names, "n_dropped", "keep").mapInArrow(apply, schema)
+    return joined.select(*own, "n_dropped", "keep").mapInArrow(apply, schema)

@@ -186,5 +186,7 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     equal in both, one. The texts are shuffled once."""
     key = F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("th").alias("h"))
     kept = near_duplicates(docs, doc_id, text, **how).groupBy("root").agg(F.min(key).alias("x")).select(F.col("x.z").alias("_z"), F.col("x.k").alias("_k"), F.col("x.h").alias("_h"))
-    rows = docs.withColumns({"_z": F.col(doc_id).isNull(), "_k": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "_h": F.xxhash64(F.col(text))})
-    return rows.join(kept, ["_z", "_k", "_h"], "left_semi").dropDuplicates(["_z", "_k", "_h"]).select(*docs.columns)
+    names, own = docs.columns, [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    id_, body = (F.col(own[names.index(c)]) for c in (doc_id, text))
+    rows = docs.toDF(*own).withColumns({"_z": id_.isNull(), "_k": F.coalesce(id_.cast("long"), F.lit(0)), "_h": F.xxhash64(body)})
+    return rows.join(kept, ["_z", "_k", "_h"], "left_semi").dropDuplicates(["_z", "_k", "_h"]).select(*own).toDF(*names)
