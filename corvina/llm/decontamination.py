@@ -5,6 +5,9 @@ m + 1 - q(k + 1) of its q-grams with it, on diagonals (place in the text less pl
 Shared q-grams are counted in overlapping bands of width 2(k + 1), so that every such band lies in one; regions
 that meet the bound are kept and verified by banded alignment of the whole item. Exact occurrences have 0 edits.
 
+Items of more than ``PART`` characters are taken in parts of that length that overlap by a half, the last one ending with the
+item, each with its own budget; so a passage that a text holds without the item's rest is found as well.
+
 Texts and items are compared in lower case with every white space character as a blank; places refer to the lower-cased
 text. Items with fewer than ``min_chars`` characters are no evidence and are left out, as are null items. The benchmark is a
 stated query set: it is taken in blocks of at most ``BLOCK`` characters, each held as an index that goes to all tasks, while every
@@ -22,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-Q, RATE, MIN_CHARS, BLOCK, PIECE = 8, 0.1, 24, 2_000_000, 1 << 20
+Q, RATE, MIN_CHARS, PART, BLOCK, PIECE = 8, 0.1, 24, 160, 2_000_000, 1 << 20
 TABLE_BITS = 22
 
 
@@ -46,8 +49,14 @@ def grams(c: np.ndarray, q: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def parts(text: str, size: int = PART) -> list[str]:
+    if len(text) <= size:
+        return [text]
+    return [text[at : at + size] for at in range(0, len(text) - size, size // 2)] + [text[-size:]]
+
+
 class Index:
-    """The q-grams of a block of items."""
+    """The q-grams of a block of items; an id that is given more than once has several parts."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, rate: float):
         self.q, self.ids, self.texts = q, [i for i, _ in items], [t for _, t in items]
@@ -56,9 +65,9 @@ class Index:
         # an item whose bound would be empty at q gets as many edits as leave one shared q-gram
         self.k = np.minimum(self.k, np.maximum(0, self.m // q - 1))
         self.least = self.m + 1 - q * (self.k + 1)
-        parts = [grams(codes(t), q) for t in self.texts]
-        sizes = [len(p) for p in parts]
-        gram, item, at = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes), np.concatenate([np.arange(s) for s in sizes])
+        each = [grams(codes(t), q) for t in self.texts]
+        sizes = [len(p) for p in each]
+        gram, item, at = np.concatenate(each), np.repeat(np.arange(len(each)), sizes), np.concatenate([np.arange(s) for s in sizes])
         order = np.argsort(gram, kind="stable")
         self.gram, first = np.unique(gram[order], return_index=True)
         self.first, self.item, self.at = np.append(first, len(gram)), item[order], at[order]
@@ -151,8 +160,10 @@ def scan(docs: DataFrame, index: Broadcast, doc_id: str, text: str) -> DataFrame
         for b in batches:
             rows = []
             for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                t = t.as_py()
-                rows += [(doc, x.ids[i], *hit) for i, hit in sorted(matches(x, folded(t)).items())] if t else []
+                found: dict[int | None, tuple[int, int, int]] = {}
+                for i, hit in matches(x, folded(t.as_py())).items() if t.is_valid and t.as_py() else ():
+                    found[x.ids[i]] = min(found.get(x.ids[i], hit), hit)
+                rows += [(doc, i, *hit) for i, hit in sorted(found.items(), key=repr)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "edits", "start", "end"])
 
@@ -166,8 +177,8 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, q: int, rate: float, m
         t = folded(r.t).strip()
         if len(t) < max(min_chars, q):
             continue
-        held.append((r.i, t))
-        size += len(t)
+        held += [(r.i, x) for x in parts(t)]
+        size += 2 * len(t)
         if size >= BLOCK:
             yield Index(sorted(held, key=repr), q, rate)
             held, size = [], 0
@@ -176,7 +187,7 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, q: int, rate: float, m
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = Q, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, item_id, edits, start, end): a row for each item that a text holds. No shuffle."""
+    """(doc_id, item_id, edits, start, end): a row for each item that a text holds, with the place of its best part. No shuffle."""
     spark: SparkSession = docs.sparkSession
     out = None
     for index in blocks(benchmark, item_id, item_text, q, rate, min_chars):
