@@ -33,7 +33,7 @@ def project(raw: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
     }).drop("_award")
     if subjects is None:
         return works.withColumn("domains", empty_array())
-    return works.join(F.broadcast(subjects), ["src", "subject"], "left").withColumn("domains", F.coalesce("domains", empty_array()))
+    return works.join(subjects, ["src", "subject"], "left").withColumn("domains", F.coalesce("domains", empty_array()))
 
 
 def subject_table(csv: DataFrame) -> DataFrame:
