@@ -115,5 +115,34 @@ from d left join cut on d.doc_id = cut.doc_id left join kept on d.doc_id = kept.
 """
 
 
+COMMON = ", ".join(f"('{w}')" for w in sorted(set(quality_rules.COMMON)))
+OP9 = rf"""
+with d as (select doc_id, lang, coalesce(text, '') as t from documents),
+w as (select doc_id, lang, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from d),
+gram as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from w, unnest(range(1, len(w) - 1)) as u(i)),
+twice as (select doc_id, g from gram group by doc_id, g having count(*) > 1),
+again as (select doc_id, count(distinct i + k) as n from gram join twice using (doc_id, g), unnest([0, 1, 2]) as u(k) group by doc_id),
+line as (select doc_id, count(*) - count(distinct x) as n from (select doc_id, unnest(string_split(t, chr(10))) as x from d) where regexp_matches(x, '[^\x20\x09-\x0D]') group by doc_id),
+class as (select doc_id, lang, [length(regexp_replace(t, '[^\p{{Ll}}]', '', 'g')), length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')), length(regexp_replace(t, '[^\p{{Lt}}\p{{Lm}}\p{{Lo}}]', '', 'g')),
+  length(regexp_replace(t, '[^\p{{Nd}}]', '', 'g')), length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g'))] as c, length(t) as n from d),
+chars as (select doc_id, lang, unnest(c || [n - list_sum(c)])::double as c, unnest(range(0, 6)) as bin, n from class),
+common(v) as (values {COMMON}),
+seen as (select doc_id, v as bin, count(*) as c from (select doc_id, unnest(list_transform(w, lambda x: lower(x))) as v from w) join common using (v) group by all),
+words as (select w.doc_id, lang, v as bin, coalesce(c, 0)::double as c, len(w) as n from w cross join common left join seen on seen.bin = v and seen.doc_id = w.doc_id
+  union all select w.doc_id, lang, '', len(w) - coalesce((select sum(c) from seen where seen.doc_id = w.doc_id), 0), len(w) from w),
+hist as (select 'c' as kind, doc_id, lang, bin::varchar as bin, c, n from chars union all select 'w', doc_id, lang, bin, c, n from words),
+ref as (select kind, lang, bin, sum(c) / sum(sum(c)) over (partition by kind, lang) as q from hist where lang is not null group by kind, lang, bin),
+term as (select h.kind, doc_id, r.lang, c / nullif(n, 0) as p, q from hist h join ref r on h.kind = r.kind and h.bin = r.bin),
+js as (select kind, doc_id, lang, sqrt(greatest(0, sum((case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2))) as d from term where p is not null group by kind, doc_id, lang),
+near as (select doc_id, min(d) filter (kind = 'c') as dc, min(d) filter (kind = 'w') as dw from js group by doc_id),
+base as (select w.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+  coalesce(line.n, 0)::bigint as n_dup_lines, coalesce(again.n, 0)::bigint as n_repeat_words, length(t) as size from w left join line using (doc_id) left join again using (doc_id)),
+judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from base)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and (size < 200 or coalesce(dc, 0) <= 0.24) and (n_words < 50 or coalesce(dw, 0) <= 0.4) as kept
+from judged left join near using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op7_warc": OP7, "op10_suffix_dedup": OP10}
+    return {"op2_line_dedup": OP2, "op7_warc": OP7, "op9_quality_rules": OP9, "op10_suffix_dedup": OP10}
