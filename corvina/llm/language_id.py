@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,7 +29,9 @@ SAMPLE, WORDS, ROUNDS, LANGUAGES = 400, 20_000, 3, 256
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: What a character that no piece covers counts; characters at most that the array code takes; words in a task's table.
-UNKNOWN, LONG, ENTRIES = 1e-6, 40, 100_000
+UNKNOWN, LONG, ENTRIES = 1e-6, 40, 300_000
+#: Bytes of text that are scored together.
+TOGETHER = 1 << 20
 
 
 def words_of(text: str | None) -> list[str]:
@@ -153,27 +156,37 @@ def learn(docs: DataFrame, pieces: list[str], doc_id: str = "doc_id", text: str
 class Scorer:
     def __init__(self, pieces: list[str], languages: list[str], p: np.ndarray):
         self.lattice, self.languages, self.p = Lattice(pieces), languages, p
-        self.table, self.scores = {}, np.zeros((0, len(languages)))
+        self.table, self.scores = {}, np.zeros((ENTRIES, len(languages)))
+
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """The words' log likelihoods by language. New words are scored together."""
+        new = set(words).difference(self.table)
+        if len(self.table) + len(new) > ENTRIES:
+            self.table, new = {}, set(words)
+        table, scores = self.table, self.scores
+        if new:
+            new = list(new)
+            made = self.lattice.score([MARK + w for w in new], self.p)
+            made[[not any(map(str.isalpha, w)) for w in new]] = 0
+            if len(new) > ENTRIES:  # for these words only
+                table, scores = {}, made
+            start = len(table)
+            table.update(zip(new, range(start, start + len(new)), strict=True))
+            scores[start : start + len(new)] = made
+        return scores[np.fromiter(map(table.__getitem__, words), np.int64, len(words))]
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, best = ["und"] * len(texts), np.zeros(len(texts))
-        if not self.languages:
+        words = [words_of(t) for t in texts]
+        rows = [k for k, w in enumerate(words) if w]
+        if not self.languages or not rows:
             return names, best
-        for k, t in enumerate(texts):
-            words = words_of(t)
-            if new := [w for w in set(words) if w not in self.table]:
-                if len(self.table) + len(new) > ENTRIES:
-                    self.table, self.scores = {}, self.scores[:0]
-                    new = list(set(words))
-                self.table.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-                made = self.lattice.score([MARK + w for w in new], self.p)
-                made[[not any(map(str.isalpha, w)) for w in new]] = 0
-                self.scores = np.concatenate([self.scores, made])
-            if words:
-                total = self.scores[np.fromiter(map(self.table.__getitem__, words), np.int64, len(words))].sum(0)
-                if total.any():
-                    odds = np.exp(total - total.max())
-                    names[k], best[k] = self.languages[int(total.argmax())], 1 / odds.sum()
+        sizes = [len(words[k]) for k in rows]
+        total = np.add.reduceat(self.look_up([x for w in words for x in w]), np.cumsum([0, *sizes[:-1]]), axis=0)
+        odds = np.exp(total - total.max(1, keepdims=True))
+        for k, t, o in zip(rows, total, odds, strict=True):
+            if t.any():  # else there is no letter
+                names[k], best[k] = self.languages[int(t.argmax())], 1 / o.sum()
         return names, best
 
 
@@ -186,11 +199,14 @@ def identify(docs: DataFrame, pieces: list[str], languages: list[str], p: np.nda
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model.value)
         for b in batches:
-            names, best = [], []
-            for start in range(0, b.num_rows, 256):
-                x, y = scorer.score(b.column(at).slice(start, 256).to_pylist())
-                names += x
-                best.append(y)
+            names, best, start, size = [], [], 0, 0
+            for end, n in enumerate(pc.binary_length(b.column(at)).fill_null(0).to_pylist(), 1):
+                size += n
+                if size > TOGETHER or end == b.num_rows:
+                    x, y = scorer.score(b.column(at).slice(start, end - start).to_pylist())
+                    names += x
+                    best.append(y)
+                    start, size = end, 0
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(np.concatenate(best) if best else [], pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(apply, docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
