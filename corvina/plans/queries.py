@@ -520,3 +520,78 @@ def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("documents"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality").isNull()).alias("unlabelled"))
 
 
+
+
+# ---- display, names, plans -----------------------------------------------------------------------------------------
+
+
+@query(f"with {S.WORKS}, {S.CASCADE}, {S.parse('works', 'award_raw')} select id, concat_ws(' · ', src, year::varchar, case when src = '全國' then nullif(split_part(edition, '--', 1), '') end, stage || case when stage_src = '推測' then '?' else '' end, nullif(subject, ''), case when rank is distinct from '未得獎' then nullif(concat_ws('・', rank, case when len(special) > 0 then array_to_string(special, '・') end), '') end, nullif(school, '')) as meta from parsed join final using (id) where len(special) < 2")
+def display_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return full(spark, sf_dir).filter(F.size("special") < 2).select("id", search.meta_line().alias("meta"))
+
+
+NAME = f"'第' || coalesce(edition_no::varchar, 'None') || '屆_' || coalesce({S.case('coalesce(stage_detail, stage)', rules.STAGE_GROUPS)}, '組別未知') || '_' || subject || '_' || coalesce(rank, '未列獎項') || '_' || coalesce(code, '000000') || '_' || title"
+
+
+@query(f"with {S.WORKS}, {S.CASCADE}, {S.parse('works', 'award_raw')} select id, left(trim(regexp_replace({NAME}, " + r"""'[\\/:*?"<>|\n\r\t]+', '_', 'g')), 80) || '.pdf' as name from parsed join final using (id)""")
+def download_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return full(spark, sf_dir).select("id", match.download_name().alias("name"))
+
+
+@query(f"with {S.WORKS}, {S.CODES}, listed as (select 14 + id % 52 as edition, code from codes where id % 5 = 2 and id % 2 = 0), disk as (select edition_no as edition, code, 'f' || id as path from works join codes using (id) where id % 3 = 0 and code is not null) select 'listed' as kind, l.edition, l.code, path from listed l left join disk d on l.edition = d.edition and l.code = d.code union all select 'extra', edition, code, path from disk d where not exists (select 1 from listed l where l.edition = d.edition and l.code = d.code)")
+def official_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = curate.codes(works(spark, sf_dir), A.filenames(spark, sf_dir), A.file_codes(spark, sf_dir))
+    disk = coded.filter("id % 3 = 0 and code is not null").select(F.col("edition_no").alias("edition"), "code", F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"))
+    plan, extra = match.listed_plan(A.official(spark, sf_dir), disk)
+    return plan.select(F.lit("listed").alias("kind"), "edition", "code", "path").unionByName(extra.select(F.lit("extra").alias("kind"), "edition", "code", "path"))
+
+
+@query(f"with {S.WORKS} select id from works where pdf is not null and id % 5 <> 3")
+def unfetched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.unfetched(works(spark, sf_dir), A.file_codes(spark, sf_dir)).select("id")
+
+
+@query("""select doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) as escaped from documents""")
+def html_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.md5(T.html_escape(F.col("text"))).alias("escaped"))
+
+
+@query("select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type, arg_max(value, event_id) as value from events group by user_id")
+def last_row_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    return readers.last_wins(rows, ["user_id"], "event_id")
+
+
+@query("select event_type, count(*) as n, count(*) filter (json_valid(props)) as valid, sum((props->>'$.k')::bigint)::bigint as total from events group by event_type")
+def json_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = F.from_json("props", "k long", {"mode": "PERMISSIVE"})
+    rows = A.table(spark, sf_dir, "events").select("event_type", parsed.alias("p"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count("p").alias("valid"), F.sum("p.k").alias("total"))
+
+
+@query("select sid, ceil(n / 10)::int as pages from (select l_suppkey as sid, count(*) as n from lineitem group by 1)")
+def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("sid")).agg(F.count("*").alias("n"))
+    return rows.select("sid", F.size(readers.list_pages(F.col("n"))).alias("pages"))
+
+
+@query("with r as (select o_custkey, o_orderkey, row_number() over w as k, o_totalprice - lead(o_totalprice) over w as m from orders window w as (partition by o_custkey order by o_totalprice desc, o_orderkey)) select o_custkey, o_orderkey, k as rank, round(case when k = 1 then m end, 4) as margin from r where k <= 2")
+def best_and_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return match.top_two(rows, "o_custkey", "o_totalprice", "o_orderkey").select("o_custkey", "o_orderkey", F.col("rank").cast("long").alias("rank"), F.round("margin", 4).alias("margin"))
+
+
+@query()
+def section_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.average_chars(fulltext.report(fulltext.extracted(papers(works(spark, sf_dir)))))
+
+
+@query()
+def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.serving(works(spark, sf_dir)).select("id", F.md5(search.marked(RANKED, F.col("abstract"), 500)).alias("marked"))
+
+
+@query()
+def detail_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = curate.related(works(spark, sf_dir))
+    return search.detail(linked, 7, similar.similar(linked))[1]
