@@ -14,6 +14,8 @@ the most documents, give references. Rows that repeat get one result each; their
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,7 +74,8 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
         F.size("common").cast("long").alias("n_common"), F.array(*words).alias("words"),
     )
     total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
-    return rows.withColumns({"chars": F.concat("chars", F.array(F.col("length") - total(F.col("chars")))), "words": F.concat("words", F.array(F.col("n_words") - F.col("n_common")))})
+    rows = rows.withColumns({"chars": F.concat("chars", F.array(F.col("length") - total(F.col("chars")))), "words": F.concat("words", F.array(F.col("n_words") - F.col("n_common")))})
+    return rows.withColumns({"char_shares": shares(F.col("chars"), F.col("length")), "word_shares": shares(F.col("words"), F.col("n_words"))})
 
 
 def references(made: DataFrame, name: str, size: int) -> list[list[float]]:
@@ -82,18 +85,27 @@ def references(made: DataFrame, name: str, size: int) -> list[list[float]]:
     return [[r[f"b{i}"] / n for i in range(size)] for r in rows if (n := sum(r[f"b{i}"] for i in range(size)))]
 
 
-def distance(counts: Column, refs: list[list[float]]) -> Column:
-    """The Jensen-Shannon distance of a histogram to the nearest reference."""
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
+def shares(counts: Column, total: Column) -> Column:
+    """The bins that a histogram has: array<struct<p,i>>."""
+    return F.filter(F.transform(counts, lambda c, i: F.struct((c / F.nullif(total, F.lit(0))).alias("p"), i.alias("i"))), lambda x: x["p"] > 0)
+
 
-    def part(x: Column, m: Column) -> Column:
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
+def distance(shares: Column, refs: list[list[float]]) -> Column:
+    """The Jensen-Shannon distance of a histogram, given as :func:`shares`, to the nearest reference. With h(x) = -x log2 x
+    summed over the bins it is
+    the root of h((p + q) / 2) - (h(p) + h(q)) / 2; only the bins that the histogram has are gone through, as what the
+    others add depends on the reference alone."""
+    if not refs:
+        return F.lit(0.0)
+    h = lambda x: -x * math.log2(x) if x > 0 else 0.0
+    entropy = lambda x: F.when(x > 0, -x * F.log2(x)).otherwise(F.lit(0.0))
 
-    def one(ref: Column) -> Column:
-        terms = F.zip_with(counts, ref, lambda c, q: part(c / total, (c / total + q) / 2) + part(q, (c / total + q) / 2))
-        return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2))
+    def one(ref: list[float]) -> Column:
+        start, half = F.lit(sum(h(q / 2) for q in ref) - sum(map(h, ref)) / 2), [q / 2 for q in ref]
+        q, known = F.array(*map(F.lit, half)), F.array(*(F.lit(h(x)) for x in half))
+        return F.aggregate(shares, start, lambda a, x: a + entropy(x["p"] / 2 + F.get(q, x["i"])) - F.get(known, x["i"]) - entropy(x["p"]) / 2)
 
-    return F.array_min(F.transform(F.array(*(F.array(*map(F.lit, r)) for r in refs)), one)) if refs else F.lit(0.0)
+    return F.sqrt(F.greatest(F.lit(0.0), F.least(*(one(r) for r in refs)) if len(refs) > 1 else one(refs[0])))
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", max_chars: float = 0.24, max_words: float = 0.4, min_chars: int = 200, min_words: int = 50) -> DataFrame:
@@ -103,8 +115,8 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     out = made.select(
         "doc_id", *BASE,
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
-        F.when((F.col("length") >= min_chars) & (F.col("length") > 0), distance(F.col("chars"), chars)).alias("char_distance"),
-        F.when((F.col("n_words") >= min_words) & (F.col("n_words") > 0), distance(F.col("words"), words)).alias("word_distance"),
+        F.when((F.col("length") >= min_chars) & (F.col("length") > 0), distance(F.col("char_shares"), chars)).alias("char_distance"),
+        F.when((F.col("n_words") >= min_words) & (F.col("n_words") > 0), distance(F.col("word_shares"), words)).alias("word_distance"),
     )
     near = (F.coalesce("char_distance", F.lit(0.0)) <= max_chars) & (F.coalesce("word_distance", F.lit(0.0)) <= max_words)
     return out.withColumn("kept", ~F.col("base_failed") & near)
