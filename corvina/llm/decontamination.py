@@ -17,6 +17,7 @@ edits counts, of these the first. Rows that repeat get the same matches each. Ex
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +32,12 @@ TABLE_BITS = 22
 
 def folded(text: str) -> str:
     """Lower case, white space as blanks; as long as str.lower() makes it."""
-    text = text.lower()
-    return text.translate(BLANKS) if not text.isascii() or any(c in text for c in "\t\n\v\f\r") else text
+    text = text.lower().replace("\n", " ")
+    return text.translate(BLANKS) if BLANK.search(text) else text
 
 
 BLANKS = {c: " " for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)}
+BLANK = re.compile("[" + "".join(map(chr, BLANKS)) + "]")
 
 
 def codes(text: str) -> np.ndarray:
@@ -88,7 +90,10 @@ class Index:
         n = self.first[k + 1] - self.first[k]
         entry = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         item = self.item[entry]
-        diagonal = np.repeat(at, n) - self.at[entry] + int(self.m.max())
+        # an item that has too few in all has too few in every band
+        some = np.bincount(item, minlength=len(self.m))[item] >= self.least[item]
+        entry, item, at = entry[some], item[some], np.repeat(at, n)[some]
+        diagonal = at - self.at[entry] + int(self.m.max())
         half = self.k[item] + 1
         out = set()
         for shift in (0, 1):  # bands [b, b + 2) * half: each half-band counts for the one it begins and the one before
