@@ -181,12 +181,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return by_doc.join(final, "fp").select("doc_id", "th", "fp", "component_id", "root")
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
-    """The rows of docs with the least id of their component (null ids last, then the least hash of the text); of rows
-    equal in both, one. The texts are shuffled once."""
-    key = F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("th").alias("h"))
-    kept = near_duplicates(docs, doc_id, text, **how).groupBy("root").agg(F.min(key).alias("x")).select(F.col("x.z").alias("_z"), F.col("x.k").alias("_k"), F.col("x.h").alias("_h"))
+def first_of_each(docs: DataFrame, grouped: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of docs with the least name of each root in grouped (_z, _k, _h, root). The texts are shuffled once."""
+    kept = grouped.groupBy("root").agg(F.min(F.struct("_z", "_k", "_h")).alias("x")).select("x.*")
     names, own = docs.columns, [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
     id_, body = (F.col(own[names.index(c)]) for c in (doc_id, text))
     rows = docs.toDF(*own).withColumns({"_z": id_.isNull(), "_k": F.coalesce(id_.cast("long"), F.lit(0)), "_h": F.xxhash64(body)})
     return rows.join(kept, ["_z", "_k", "_h"], "left_semi").dropDuplicates(["_z", "_k", "_h"]).select(*own).toDF(*names)
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
+    """The rows of docs with the least id of their component (null ids last, then the least hash of the text); of rows
+    equal in both, one. The texts are shuffled once."""
+    grouped = near_duplicates(docs, doc_id, text, **how).select(F.col("doc_id").isNull().alias("_z"), F.coalesce("doc_id", F.lit(0)).alias("_k"), F.col("th").alias("_h"), "root")
+    return first_of_each(docs, grouped, doc_id, text)
