@@ -6,7 +6,9 @@ Shared q-grams are counted in overlapping bands of width 2(k + 1), so that every
 that meet the bound are kept and verified by banded alignment of the whole item. Exact occurrences have 0 edits.
 
 Items of more than ``PART`` characters are taken in parts of that length that overlap by a half, the last one ending with the
-item, each with its own budget; so a passage that a text holds without the item's rest is found as well.
+item, each with its own budget. Items of more than ``SHORT`` characters are taken in parts of that length every ``STRIDE``
+characters as well, so every passage of SHORT + STRIDE - 1 = 99 characters of an item that a text holds without the item's
+rest is found; shorter passages need luck. A shorter part counts only where no longer one of its item does.
 
 Texts and items are compared in lower case with every white space character as a blank; places refer to the lower-cased
 text. Items with fewer than ``min_chars`` characters are no evidence and are left out, as are null items. The benchmark is a
@@ -26,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-Q, RATE, MIN_CHARS, PART, BLOCK, PIECE = 8, 0.1, 24, 160, 2_000_000, 1 << 20
+Q, RATE, MIN_CHARS, PART, SHORT, STRIDE, BLOCK, PIECE = 8, 0.1, 24, 160, 80, 20, 2_000_000, 1 << 20
 TABLE_BITS = 22
 
 
@@ -51,10 +53,15 @@ def grams(c: np.ndarray, q: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def parts(text: str, size: int = PART) -> list[str]:
+def parts(text: str, size: int = PART, stride: int = PART // 2) -> list[str]:
     if len(text) <= size:
         return [text]
-    return [text[at : at + size] for at in range(0, len(text) - size, size // 2)] + [text[-size:]]
+    return [text[at : at + size] for at in range(0, len(text) - size, stride)] + [text[-size:]]
+
+
+def all_parts(text: str) -> list[str]:
+    """Each once: long ones, then short ones."""
+    return list(dict.fromkeys(parts(text) + (parts(text, SHORT, STRIDE) if len(text) > SHORT else [])))
 
 
 class Index:
@@ -165,10 +172,11 @@ def scan(docs: DataFrame, index: Broadcast, doc_id: str, text: str) -> DataFrame
         for b in batches:
             rows = []
             for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                found: dict[int | None, tuple[int, int, int]] = {}
+                found: dict[int | None, tuple[int, int, int, int]] = {}
                 for i, hit in matches(x, folded(t.as_py())).items() if t.is_valid and t.as_py() else ():
-                    found[x.ids[i]] = min(found.get(x.ids[i], hit), hit)
-                rows += [(doc, i, *hit) for i, hit in sorted(found.items(), key=repr)]
+                    ranked = (-int(x.m[i]), *hit)
+                    found[x.ids[i]] = min(found.get(x.ids[i], ranked), ranked)
+                rows += [(doc, i, *hit[1:]) for i, hit in sorted(found.items(), key=repr)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "edits", "start", "end"])
 
@@ -182,8 +190,9 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, q: int, rate: float, m
         t = folded(r.t).strip()
         if len(t) < max(min_chars, q):
             continue
-        held += [(r.i, x) for x in parts(t)]
-        size += 2 * len(t)
+        own = all_parts(t)
+        held += [(r.i, x) for x in own]
+        size += sum(map(len, own))
         if size >= BLOCK:
             yield Index(sorted(held, key=repr), q, rate)
             held, size = [], 0
@@ -192,7 +201,7 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, q: int, rate: float, m
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = Q, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, item_id, edits, start, end): a row for each item that a text holds, with the place of its best part. No shuffle."""
+    """(doc_id, item_id, edits, start, end): a row for each item that a text holds, with the place of its best part (of the longest found). No shuffle."""
     spark: SparkSession = docs.sparkSession
     out = None
     for index in blocks(benchmark, item_id, item_text, q, rate, min_chars):
