@@ -2,8 +2,8 @@
 
 A template of n bigrams can reach a coefficient t only in a window that shares t / (2 - t) * n of its bigrams and has
 between that many and n * (2 - t) / t of its own; templates that a text can't hold by these bounds are pruned before
-any window is looked at. For the others the window of the template's size with the most shared bigrams is found, trimmed
-or widened within the bounds to where shared bigrams begin and end, and compared (bigrams with repeats).
+any window is looked at. For the others every window within the bounds that begins and ends with shared bigrams is compared
+(bigrams with repeats), and the one with the largest coefficient counts; of equals the first.
 
 Words are runs of letters and digits of the lower-cased text, so case, punctuation and line breaks don't matter. A text gets
 the licence with the largest coefficient of at least ``threshold``; ties go to the longer template, then to the first in
@@ -91,18 +91,27 @@ class Templates:
         own = self.member[:, code[hits]]
         for k in np.flatnonzero(own.sum(1) >= [t / (2 - t) * len(g) - 1e-9 for g in self.grams]):
             n, at = len(self.grams[k]), hits[own[k]]
-            # the window of n bigrams with the most hits, for a start at each hit
-            inside = np.searchsorted(at, at + n) - np.arange(len(at))
+            # a hit counts in a window that starts behind the hit that is as many of its bigram back as the template has
+            last: dict[int, list[int]] = {}
+            back = np.full(len(at), -1)
+            for x, c in enumerate(code[at].tolist()):
+                seen = last.setdefault(c, [])
+                if len(seen) >= self.counts[k][c]:
+                    back[x] = seen[-self.counts[k][c]]
+                seen.append(x)
+            # every start at a hit, with every end at a hit up to the widest window that can reach the threshold
+            end = np.searchsorted(at, at + int(n * (2 - t) / t + 1e-9))
             best = None
-            for i in np.flatnonzero(inside >= max(1, t / (2 - t) * n - 1e-9)):
-                if inside[i] < inside.max():
+            for i in np.flatnonzero(end - np.arange(len(at)) >= max(1, t / (2 - t) * n - 1e-9)):
+                shared = np.cumsum(back[i : end[i]] < i)
+                if shared[-1] < t / (2 - t) * n - 1e-9:
                     continue
-                window = at[i : i + inside[i]]
-                first, last = int(window[0]), int(window[-1])
-                shared = sum((Counter(code[first : last + 1].tolist()) & self.counts[k]).values())
-                dice = 2 * shared / (n + last + 1 - first)
-                if best is None or dice > best[0]:
-                    best = (dice, int(k), first, last + 2 - first)
+                dice = 2 * shared / (n + at[i : end[i]] - at[i] + 1)
+                j = int(dice.argmax())
+                if best is None or dice[j] > best[0]:
+                    best = (float(dice[j]), int(k), int(at[i]), int(at[i + j] - at[i]) + 2)
+                    if best[0] >= 1:
+                        break
             if best and best[0] >= t - 1e-12:
                 found.append(best)
         return sorted(found, key=lambda x: (-x[0], -len(self.grams[x[1]]), self.names[x[1]], x[2]))
