@@ -446,9 +446,10 @@ def redact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def papers(w: DataFrame) -> DataFrame:
-    """Texts with headings, as documents have them."""
-    part = lambda n: F.substring("abstract", n * 200 + 1, 200)
-    body = F.concat(F.lit("目錄\n一、研究動機...1\n二、研究目的...2\n\n壹、研究動機\n"), part(0), F.lit("\n貳、研究目的\n"), part(1), F.lit("\n參、研究設備及器材\n"), part(2), F.lit("\n肆、研究方法\n- 3 -\n"), part(3), F.lit("\n伍、研究結果與討論\n"), part(4), F.lit("\n陸、結論\n"), part(0), F.expr("repeat('中文字', 120)"))
+    """Whole texts under headings, as documents have them, in six parts of equal length (the last takes the rest)."""
+    cut = F.floor(F.length("abstract") / 6).cast("int")
+    part = lambda n: F.substring("abstract", n * cut + 1, cut if n < 5 else F.length("abstract"))
+    body = F.concat(F.lit("目錄\n一、研究動機...1\n二、研究目的...2\n\n壹、研究動機\n"), part(0), F.lit("\n貳、研究目的\n"), part(1), F.lit("\n參、研究設備及器材\n"), part(2), F.lit("\n肆、研究方法\n- 3 -\n"), part(3), F.lit("\n伍、研究結果與討論\n"), part(4), F.lit("\n陸、結論\n"), part(5), F.expr("repeat('中文字', 120)"))
     return w.select(F.col("id").alias("sid"), F.when(F.col("id") % 9 == 4, F.col("abstract")).otherwise(body).alias("text"))
 
 
@@ -475,11 +476,12 @@ FREQUENCIES = {"的": 900, "，": 800, "。": 500, "是": 300, "在": 250, "與"
 
 @query()
 def glyph_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of Chinese written as glyph numbers shifted by 436, by id; some have ordinary text."""
+    """Whole texts as a page; by id, next to a page of Chinese written as glyph numbers shifted by 436."""
     glyphs = fulltext.Glyphs(FREQUENCIES)
     code = {c: int(i) + glyphs.low + 436 for i, c in reversed(list(enumerate(glyphs.chars))) if c in FREQUENCIES}
     text = "".join(chr(code[c]) for c in "的，是在的水中實驗。與研究的，的水是在。" * 3)
-    pages = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sid"), F.array(F.when(F.col("doc_id") % 2 == 0, F.lit(text)).otherwise(F.left(F.coalesce("text", F.lit("")), F.lit(200))), F.lit("炻烉炻烉炻烉")).alias("pages"))
+    own, marks = F.coalesce("text", F.lit("")), F.lit("炻烉炻烉炻烉")
+    pages = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sid"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(text), own, marks)).otherwise(F.array(own, marks)).alias("pages"))
     return fulltext.repaired(pages, FREQUENCIES, REPAIRS)
 
 
