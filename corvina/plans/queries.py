@@ -386,9 +386,9 @@ def file_match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def misspelt(w: DataFrame) -> DataFrame:
-    """Files whose titles have lost every ninth character."""
+    """A file for each national work, whose title has lost every ninth character."""
     short = F.array_join(F.filter(F.split(F.regexp_replace("title", "[\n\r/]", ""), ""), lambda c, i: i % 9 != 8), "")
-    return w.filter((F.col("src") == rules.NATIONAL) & (F.col("type") == rules.WORK) & (F.col("id") % 5 == 1) & (F.length("title") > 12)).select(F.col("id").alias("position"), F.concat(F.lit("第"), F.col("edition_no").cast("string"), F.lit("屆_國小組_物理_佳作_9999_"), short, F.lit(".pdf")).alias("name"))
+    return w.filter((F.col("src") == rules.NATIONAL) & (F.col("type") == rules.WORK)).select(F.col("id").alias("position"), F.concat(F.lit("第"), F.col("edition_no").cast("string"), F.lit("屆_國小組_物理_佳作_9999_"), short, F.lit(".pdf")).alias("name"))
 
 
 @query()
