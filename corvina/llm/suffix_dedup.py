@@ -7,21 +7,23 @@ Suffixes are sorted to a depth of ``length`` bytes, one block of suffix buckets
 1. Buckets. A suffix's bucket is the least hash of the k-grams in its first ``length`` bytes, so equal strings share a
    bucket. Successive suffixes mostly share one too; such a run is a segment. Buckets with one segment hold no repeat
    and go no further; only the others' segments are cut out of the texts, each byte string once for each task.
-2. Blocks. A task takes whole buckets up to a few MB, names the 160-byte strings at the positions of a difference cover
+2. Blocks. A task takes whole buckets up to about a MB, names the 160-byte strings at the positions of a difference cover
    modulo 32 by doubling, and sorts the block's suffixes by their first 32 bytes. Longer ties are resolved by the
    cover's names: of any two positions some equal distance under 32 leads both into the cover. The bytes behind
    what a name spans are compared outright. Memory is bounded by the block.
 3. Crowded buckets (over ``CROWD`` segments) are split by their segments' bytes, so a copy meets its equals; strings that
    only other splits hold are found by one row for each distinct string and split, aggregated by a 128-bit hash.
 
-Documents are told apart by their id and, where ids repeat, by a hash of the text. Rows equal in both are two
-documents that repeat each other. Null texts are empty. Texts shorter than ``length`` lose nothing. No text is cut off: long
-ones are read in overlapping slices.
+Documents are told apart by their id and, where ids repeat or are null, by a 64-bit hash of the text. Rows equal in both are
+two documents that repeat each other. Null texts are empty. Texts shorter than ``length`` lose nothing. No text is cut off: long
+ones are read in overlapping slices. Ties don't matter: every occurrence of a repeated string goes. Empty tables give empty
+results, extra columns are left alone. The table of segments in step 1 only saves work: with it off (``HELD`` 0) the same bytes go.
 """
 
 from __future__ import annotations
 
 import functools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 
 from corvina.llm.common import cut
 
-GRAM, SLICE, BLOCK, CROWD, SPLIT = 32, 1 << 18, 4 << 20, 4096, 2048
+GRAM, SLICE, BLOCK, CROWD, SPLIT = 32, 1 << 18, 1 << 20, 4096, 2048
+#: Bytes that a task of the cutting stage holds (segments with what Python needs for each), and bytes of segments in a batch.
+HELD, BATCH = 32 << 20, 2 << 20
 #: Low bits that give way to the position in a slice; the rest of a gram's hash names the bucket.
 PLACE = np.uint64(20)
 PERIOD, DEPTH = 32, 160
@@ -122,7 +126,7 @@ def filed(docs: DataFrame, length: int) -> DataFrame:
                 take = pa.array(rows[k])
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), doc.take(take), th.take(take), pa.array(lo), pa.array(n.astype(np.int32))], ["bucket", "doc", "th", "lo", "n"])
 
-    return docs.mapInArrow(apply, "bucket long, doc long, th int, lo long, n int")
+    return docs.mapInArrow(apply, "bucket long, doc long, th long, lo long, n int")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -136,7 +140,7 @@ def packed(docs: DataFrame) -> DataFrame:
             made = [z.compress(x.as_buffer().to_pybytes()) if x.is_valid else z.compress(b"") for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["doc", "th", "z"])
 
-    return docs.mapInArrow(apply, "doc long, th int, z binary")
+    return docs.mapInArrow(apply, "doc long, th long, z binary")
 
 
 def unpacked(z: bytes) -> bytes:
@@ -153,7 +157,43 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], reach[np.concatenate([new[1:], [True]])]
 
 
-CUT = "part long, bucket long, crowded boolean, seg binary, doc long, th int, lo long, n int"
+CUT = "part long, bucket long, crowded boolean, seg binary, doc long, th long, lo long, n int"
+
+
+class Held:
+    """The distinct segments that a task has met: where the only occurrence is (n: its starts), or n = 0 if there were
+    more, whose ranges are then ``gone``. Fields are arrays of 64 bits; ``size`` counts what Python really takes."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.bucket, self.count, self.doc, self.th, self.lo, self.n = (array("q") for _ in range(6))
+        self.null, self.gone, self.size = array("b"), {}, 0
+
+    def name(self, i: int) -> int | None:
+        return None if self.null[i] else self.doc[i]
+
+    def drop(self, doc: int | None, th: int, lo: int, size: int) -> None:
+        x = self.gone.get((doc, th))
+        if x is None:
+            x = self.gone[doc, th] = array("q")
+            self.size += 350
+        if x and x[-2] <= lo <= x[-1]:  # goes on where the last one ends
+            x[-1] = max(x[-1], lo + size)
+        else:
+            x.extend((lo, lo + size))
+            self.size += 24
+
+    def add(self, seg: bytes, bucket: int, count: int, doc: int | None, th: int, lo: int, n: int) -> None:
+        i = self.number.setdefault(seg, len(self.number))
+        if i < len(self.n):
+            if self.n[i]:
+                self.drop(self.name(i), self.th[i], self.lo[i], len(seg))
+                self.n[i] = 0
+            self.drop(doc, th, lo, len(seg))
+            return
+        for x, value in zip((self.bucket, self.count, self.doc, self.null, self.th, self.lo, self.n), (bucket, count, doc or 0, doc is None, th, lo, n), strict=True):
+            x.append(value)
+        self.size += len(seg) + 300
 
 
 def cut_out(texts: DataFrame, length: int) -> DataFrame:
@@ -163,44 +203,40 @@ def cut_out(texts: DataFrame, length: int) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        schema = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("crowded", pa.bool_()), ("seg", pa.binary()), ("doc", pa.int64()), ("th", pa.int32()), ("lo", pa.int64()), ("n", pa.int32())])
-        met: dict[bytes, tuple] = {}
-        gone: dict[tuple, list[tuple[int, int]]] = {}
-        size = 0
+        schema = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("crowded", pa.bool_()), ("seg", pa.binary()), ("doc", pa.int64()), ("th", pa.int64()), ("lo", pa.int64()), ("n", pa.int32())])
+        held = Held()
 
-        def flush() -> pa.RecordBatch:
-            rows = []
-            for seg, (bucket, count, occ) in met.items():
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows, size = [], 0
+            for seg, i in held.number.items():
+                bucket, count = held.bucket[i], held.count[i]
                 parts = -(-count // SPLIT) if count > CROWD else 1
                 part = bucket + (xxhash.xxh64_intdigest(seg) % parts) * 0x9E3779B97F4A7C1 if parts > 1 else bucket
-                rows.append(((part + 2**63) % 2**64 - 2**63, bucket, parts > 1, seg, *(occ or (None, None, None, 0))))
-            for (doc, th), x in gone.items():
-                a, b = merged(*map(np.array, zip(*x, strict=True)))
+                once = held.n[i] > 0
+                rows.append(((part + 2**63) % 2**64 - 2**63, bucket, parts > 1, seg, *((held.name(i), held.th[i], held.lo[i], held.n[i]) if once else (None, None, None, 0))))
+                size += len(seg) + 200
+                if size >= BATCH:
+                    yield made(rows)
+                    rows, size = [], 0
+            for (doc, th), x in held.gone.items():
+                a, b = merged(np.array(x[::2]), np.array(x[1::2]))
                 rows += [(xxhash.xxh64_intdigest(f"{doc} {th}") - 2**63, None, None, None, doc, th, s, e - s) for s, e in zip(a.tolist(), b.tolist(), strict=True)]
-            met.clear(), gone.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            if rows:
+                yield made(rows)
 
         for b in batches:
             for doc, th, z, found in zip(*(b.column(i) for i in range(4)), strict=True):
                 doc, th, data = doc.as_py(), th.as_py(), unpacked(z.as_py())
                 for k, s, m, c in zip(*(found.values.field(i).to_pylist() for i in range(4)), strict=True):
-                    seg = data[s : s + m + length - 1]
-                    was = met.get(seg)
-                    if was is None:
-                        met[seg] = (k, c, (doc, th, s, m))
-                        size += len(seg) + 200
-                    else:
-                        if was[2]:
-                            d, t, x, _ = was[2]
-                            gone.setdefault((d, t), []).append((x, x + len(seg)))
-                            met[seg] = (*was[:2], None)
-                        gone.setdefault((doc, th), []).append((s, s + len(seg)))
-                        size += 100
-                if size > 48 << 20:
-                    yield flush()
-                    size = 0
-        if met or gone:
-            yield flush()
+                    held.add(data[s : s + m + length - 1], k, c, doc, th, s, m)
+                if held.size > HELD:
+                    yield from flush()
+                    held = Held()
+        if held.size:
+            yield from flush()
 
     return texts.mapInArrow(apply, CUT)
 
@@ -230,8 +266,8 @@ def repeats(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
         word = (word[:-width] << np.uint64(8 * width)) | word[width:]
         width *= 2
     # names of the cover's positions: 32 bytes, then 64, 128, 160
-    name = np.zeros(n + length + PERIOD, np.int64)
-    pos = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
+    name = np.zeros(n + length + PERIOD, np.int32)
+    pos = np.flatnonzero(np.tile(np.isin(np.arange(PERIOD), COVER), n // PERIOD + 1)[:n]).astype(np.int32)
     order = np.lexsort([word[pos + o] for o in (24, 16, 8, 0)])
     s = pos[order]
     new = np.zeros(len(s), bool)
@@ -292,7 +328,7 @@ def repeats(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return np.unique(group, return_inverse=True)[1]
 
 
-OUT = "f1 long, f2 long, doc long, th int, lo long, hi long"
+OUT = "f1 long, f2 long, doc long, th long, lo long, hi long"
 
 
 def resolved(rows: DataFrame, length: int) -> DataFrame:
@@ -302,7 +338,7 @@ def resolved(rows: DataFrame, length: int) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        types = [pa.int64()] * 6
         names = [x.split()[0] for x in OUT.split(", ")]
         segs: list[list] = []  # [bytes, crowded, doc, th, lo, n or 0]
         size, part, out = 0, None, []
@@ -315,9 +351,9 @@ def resolved(rows: DataFrame, length: int) -> DataFrame:
             text = np.frombuffer(b"".join(x[0] for x in segs), np.uint8)
             sizes = np.array([len(x[0]) for x in segs])
             at, n = np.cumsum(sizes) - sizes, sizes - length + 1
-            seg = np.repeat(np.arange(len(segs)), n)
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            starts = at[seg] + inner
+            seg = np.repeat(np.arange(len(segs), dtype=np.int32), n)
+            inner = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            starts = at.astype(np.int32)[seg] + inner
             cls = repeats(text, starts, length)
             count = np.bincount(cls)
             often = count[cls] > 1
@@ -393,7 +429,7 @@ def ranges(docs: DataFrame, length: int = 200) -> DataFrame:
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, spans array<struct<lo,hi>>, kept binary) for each row of docs."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), (F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")) - 2**31).cast("int").alias("th"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
     spans = ranges(rows, length).groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("x")).withColumnsRenamed({"doc": "_doc", "th": "_th"})
     a = packed(rows)
     joined = a.join(spans, a.doc.eqNullSafe(spans._doc) & (a.th == spans._th), "left").select("doc", "z", "x")

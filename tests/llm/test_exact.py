@@ -265,17 +265,16 @@ def brute_removal(rows, length=200):
     return out
 
 
-@pytest.mark.parametrize(("crowd", "block"), [(4096, 4 << 20), (3, 3000)])
-def test_suffixes_by_brute_force(spark, documents, crowd, block, monkeypatch):
-    """Also with crowded buckets, small blocks and periodic texts."""
+@pytest.mark.parametrize(("crowd", "block", "held"), [(4096, 4 << 20, 32 << 20), (3, 3000, 32 << 20), (4096, 1 << 20, 0), (3, 3000, 0)])
+def test_suffixes_by_brute_force(spark, documents, crowd, block, held, monkeypatch):
+    """Also with crowded buckets, small blocks and periodic texts, and without the table of segments already met."""
     rng = random.Random(1)
     rows = [(d, t) for d, t, _ in documents][:120]
     part = "".join(rng.choice("abcd") for _ in range(400))
     rows += [(1000 + i, "".join(rng.choice("xyz") for _ in range(rng.randrange(90))) + part[rng.randrange(150) : 250 + rng.randrange(150)] + "".join(rng.choice("xyz") for _ in range(90))) for i in range(20)]
     rows += [(2000, "ab" * 400), (2001, "abc" * 100 + part), (2002, "q" * 199), (2003, "q" * 200), (2004, part[:100] * 7)]
-    for name, value in (("CROWD", crowd), ("SPLIT", max(1, crowd // 2)), ("BLOCK", block)):
+    for name, value in (("CROWD", crowd), ("SPLIT", max(1, crowd // 2)), ("BLOCK", block), ("HELD", held)):
         monkeypatch.setattr(suffix_dedup, name, value)
-    # the tasks import the module anew: hand the values over
     made = suffix_dedup.dedup(table(spark, rows)).collect()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in made}
     assert got == brute_removal(rows)
