@@ -4,11 +4,12 @@ In the models meant here no piece holds a whitespace marker behind another chara
 therefore falls apart into chunks (a run of markers with the word behind it, or a line feed) that are segmented
 independently of each other. Each task keeps a table of the chunks met so far, with their ids and their decoded
 text; every distinct chunk goes through the library once, and a text's ids are the table's entries in order of
-position. The table is emptied when it is full, so memory is bounded. Both properties of the vocabulary are checked
+position. The table is emptied when it is full, so memory is bounded; chunks of over ``LONGEST`` characters (long addresses, say)
+are segmented for the texts at hand and then forgotten, while the others stay. Both properties of the vocabulary are checked
 when the model is loaded; a model without them is applied to whole texts.
 
-Null and empty texts: only the end id; decoded ''. Repeated rows: one result each. Chunks of any length are
-handled; those over ``LONGEST`` characters aren't kept in the table. Empty tables give empty results.
+Null and empty texts: only the end id; decoded ''. Repeated rows: one result each. Texts and chunks of any length are
+taken whole. There are no ties. Empty tables give empty results, extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -67,16 +68,20 @@ class ChunkCodec:
             return
         chunked = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         new = set().union(*chunked).difference(self.ids)
-        if len(self.ids) + len(new) > self.entries:
+        aside = {c for c in new if len(c) > LONGEST}  # for these texts only
+        if len(self.ids) + len(new) - len(aside) > self.entries:
             self.ids.clear(), self.text.clear()
             new = set().union(*chunked)
-        ids, text = self.ids, self.text
-        if len(new) > self.entries or max(map(len, new), default=0) > LONGEST:  # for these texts only
-            ids, text = dict(ids), dict(text)
+            aside = {c for c in new if len(c) > LONGEST}
+            if len(new) - len(aside) > self.entries:
+                aside = new
         if new:
-            self.learn(new, ids, text)
+            self.learn(new, self.ids, self.text)
+        ids, text = self.ids, self.text
         for chunks in chunked:
             yield b"".join([*map(ids.__getitem__, chunks), self.eos]), "".join(map(text.__getitem__, chunks))[1:]
+        for c in aside:
+            del ids[c], text[c]
 
 
 def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", entries: int = ENTRIES) -> DataFrame:
