@@ -11,7 +11,9 @@ least page_id is a response and the others revisit it; rows that repeat that pag
 as larger than any; if all are null, all are responses. Null urls become ``urn:page:ID``; control characters, blanks and
 non-ASCII characters of a url are percent-encoded. Extra columns are left alone. Empty tables make no archive.
 
-A damaged archive gives the records before the damage and one row whose ``status`` says what is wrong.
+A damaged record gives one row whose ``status`` says what is wrong; the reader goes on with the next member, or where a member
+can't be read to its end, with the next place where a member begins that is a record. Heads and payloads may have any
+length. Ties (equal payloads) are settled by page_id as above.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 
 from corvina.llm.common import cut, shared_dir
 
-BLOCK, ARCHIVE = 1 << 16, 64 << 20
+#: Bytes that are read at a time; of an archive at which the next one begins; that show whether a member is a record;
+#: archives that are read at the same time.
+BLOCK, ARCHIVE, PROBE, READERS = 1 << 16, 64 << 20, 1024, 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -144,13 +148,50 @@ class Members:
                 return data
         return b""
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        while (i := self.buffer.find(mark)) < 0:
-            if not (x := self.more()) or len(self.buffer) > most:
+    def until(self, mark: bytes) -> bytes:
+        """What stands before the mark, however long that is."""
+        buffer, seen = bytearray(self.buffer), 0
+        while (i := buffer.find(mark, seen)) < 0:
+            seen = max(0, len(buffer) - len(mark) + 1)
+            if not (x := self.more()):
                 raise Damage("bad head")
-            self.buffer += x
-        head, self.buffer = self.buffer[:i], self.buffer[i + len(mark) :]
-        return head
+            buffer += x
+        self.buffer = bytes(buffer[i + len(mark) :])
+        return bytes(buffer[:i])
+
+    def skip(self) -> None:
+        """Behind the member, or where that can't be read, to the next place where a record begins."""
+        try:
+            while self.more():
+                pass
+        except Damage:
+            self.resume()
+
+    def resume(self) -> None:
+        """From the damaged member's start on, as what was read of it may reach into the next ones; in a file that can't go back,
+        from here on."""
+        data, at = self.raw[1:], self.at + 1
+        if self.f.seekable():
+            self.f.seek(self.start + 1)
+            data, at = b"", self.start + 1
+        while True:
+            if (i := data.find(b"\x1f\x8b\x08")) < 0:
+                last, x = data[-2:], self.f.read(BLOCK)
+                data, at = last + x, at + len(data) - len(last)
+                if x:
+                    continue
+                self.raw, self.at = b"", at + len(last)
+                return
+            data, at = data[i:], at + i
+            while len(data) < PROBE and (x := self.f.read(BLOCK)):
+                data += x
+            try:
+                if zlib.decompressobj(31).decompress(data[:PROBE], 5) == b"WARC/":
+                    self.raw, self.at = data, at
+                    return
+            except zlib.error:
+                pass
+            data, at = data[1:], at + 1
 
     def exactly(self, n: int) -> Iterator[bytes]:
         while n:
@@ -206,7 +247,7 @@ def records(f: BinaryIO, payloads: bool = False) -> Iterator[dict]:
             yield row
         except Damage as e:
             yield row | {"status": str(e)}
-            return
+            m.skip()
 
 
 SCHEMA = "path string, offset long, record_type string, record_id string, target_uri string, page_id long, refers_to long, payload_bytes long, payload_digest string, said_digest string, payload binary, status string"
@@ -240,7 +281,7 @@ def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
                     f = pa.BufferReader(b.column(1)[i].as_buffer())
                 else:
                     store, at = fs.FileSystem.from_uri(path)
-                    f = store.open_input_stream(at, compression=None)
+                    f = store.open_input_file(at)
                 with f:
                     for r in rows(path, f):
                         made.append(r)
@@ -260,7 +301,9 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     if "://" not in folder:
         folder = re.sub(r"^(file:)?/+", "file:///", folder)
     archives = write(revisits(pages, page_id, url, html, min_bytes), folder)
-    found = cut(read(archives.repartition("path")).filter("record_type in ('response', 'revisit') or status <> 'ok'").drop("payload"))
+    # a task for each archive, as the list itself is too short for a size to go by
+    tasks = max(1, min(READERS, archives.count()))
+    found = cut(read(archives.repartition(tasks)).filter("record_type in ('response', 'revisit') or status <> 'ok'").drop("payload"))
     sizes = found.filter("record_type = 'response'").groupBy(F.col("page_id").alias("_page"), F.col("said_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
     again = found.filter("record_type = 'revisit'").join(sizes, (F.col("refers_to") == F.col("_page")) & (F.col("said_digest") == F.col("_digest")), "left")
     again = again.withColumns({"payload_bytes": F.col("_bytes"), "payload_digest": F.col("_digest")}).drop("_page", "_digest", "_bytes")
