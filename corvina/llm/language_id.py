@@ -5,31 +5,41 @@ all of its segmentations into pieces, which a forward algorithm gives; as pieces
 product over the text's marked words, and each distinct word is scored once for a task and kept in a bounded table.
 
 Words are the runs of letters of the lower-cased text. Probabilities come from a few rounds of expectation
-maximisation over the words of a bounded sample: at most ``SAMPLE`` labelled texts of each language, those with the
-least hash of their id, and of their words the ``WORDS`` most frequent of each language. Everything else covers all data.
+maximisation over the words of a bounded sample: the ``SAMPLE`` labelled texts of each language (identical rows count once) with
+the least hash of id and text. That bound is the only one: all words of these texts count, their expected uses of pieces
+are summed by the tasks, and the driver holds what the model itself is, a number for each piece and language. Words of more
+than ``LONG`` letters are taken apart after every LONG letters for the fitting (not for scoring). Sums along a word are
+rescaled as they go, so that no word is too long or too unlikely. Everything but the fitting covers all data.
 
 Null texts and texts without a letter: ``und`` with score 0. Ties go to the language first in alphabetical order. If no
-labelled row is left to learn from, every text is ``und``. Rows that repeat get one result each.
+labelled row is left to learn from, every text is ``und``. Rows that repeat get one result each, null ids are ids like others.
+Texts of any length are read whole; empty tables give empty results; columns named like the results are replaced.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SAMPLE, WORDS, ROUNDS, LANGUAGES = 400, 20_000, 3, 256
+from corvina.llm.common import cut
+
+SAMPLE, ROUNDS, SALTS = 400, 3, 64
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: What a character that no piece covers counts; characters at most that the array code takes; words in a task's table.
 UNKNOWN, LONG, ENTRIES = 1e-6, 40, 300_000
+#: Letters after which sums along a word are rescaled; words that are gone through together.
+RESCALE, WORDS = 8, 20_000
 #: Bytes of text that are scored together.
 TOGETHER = 1 << 20
 
@@ -57,28 +67,35 @@ class Lattice:
                 if ids.any():
                     yield start, end, ids
 
-    def forward(self, arcs: list, n: int, length: int, p: np.ndarray) -> np.ndarray:
-        alpha = np.zeros((length + 1, n, p.shape[1]))
+    def forward(self, arcs: Iterable, n: int, length: int, p: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the sum over all segmentations, by word and language."""
+        alpha, scale, done = np.zeros((length + 1, n, p.shape[1])), np.zeros((n, p.shape[1])), 0
         alpha[0] = 1
         for start, end, ids in arcs:
+            if end > done + RESCALE:
+                last, first = alpha[end - 1].copy(), max(0, end - self.widest)
+                alpha[first:end] /= last
+                scale += np.log(last)
+                done = end - 1
             alpha[end] += alpha[start] * p[ids]
-        return alpha
+        return np.log(alpha[length]) + scale
 
     def counts(self, words: dict[str, np.ndarray], p: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece by language; words: counts by language."""
+        """Expected uses of each piece by language; words: counts by language. Sums are kept as logarithms."""
         total, by = np.zeros_like(p), {}
         for w in words:
             by.setdefault(len(w), []).append(w)
         for length, group in by.items():
             arcs, weight = list(self.arcs(group)), np.array([words[w] for w in group], float)
-            alpha = self.forward(arcs, len(group), length, p)
-            beta = np.zeros_like(alpha)
-            beta[length] = 1
-            for start, end, ids in reversed(arcs):
-                beta[start] += beta[end] * p[ids]
-            scale = weight / np.maximum(alpha[length], 1e-300)
+            alpha, beta = np.zeros((2, length + 1, len(group), p.shape[1]))
+            for end, some in groupby(arcs, lambda x: x[1]):
+                one = alpha[end - 1]
+                alpha[end] = one + np.log(sum(np.exp(alpha[start] - one) * p[ids] for start, _, ids in some))
+            for start, some in groupby(sorted(arcs, key=lambda x: -x[0]), lambda x: x[0]):
+                one = beta[start + 1]
+                beta[start] = one + np.log(sum(np.exp(beta[end] - one) * p[ids] for _, end, ids in some))
             for start, end, ids in arcs:
-                np.add.at(total, ids, alpha[start] * p[ids] * beta[end] * scale)
+                np.add.at(total, ids, np.exp(alpha[start] + beta[end] - alpha[length]) * p[ids] * weight)
         total[0] = 0
         return total
 
@@ -90,7 +107,7 @@ class Lattice:
         for length, rows in by.items():
             if length <= LONG:
                 group = [words[i] for i in rows]
-                out[rows] = np.log(self.forward(self.arcs(group), len(group), length, p)[length])
+                out[rows] = self.forward(self.arcs(group), len(group), length, p)
             else:
                 for i in rows:
                     out[i] = self.long(words[i], p)
@@ -119,35 +136,55 @@ def vocabulary(model_path: str) -> list[str]:
     return sorted({p for p in ordinary if LETTERS.fullmatch(p.removeprefix(MARK) or "1")} | {MARK})
 
 
-def learn(docs: DataFrame, pieces: list[str], doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, most_words: int = WORDS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
+def sampled(docs: DataFrame, doc_id: str, text: str, lang: str, sample: int) -> DataFrame:
+    """(lang, text): the rows of each language with the least hash of id and text. A language is ranked in SALTS parts first,
+    each by its tasks, so no task gets more than a few rows of any."""
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h")).filter("text is not null and lang is not null")
+    rank = lambda *by: F.dense_rank().over(Window.partitionBy(*by).orderBy("h"))
+    least = rows.select("lang", "h", (F.spark_partition_id() % SALTS).alias("salt")).withColumn("n", rank("lang", "salt")).filter(F.col("n") <= sample).select("lang", "h", "salt").distinct()
+    least = least.withColumn("n", rank("lang")).filter(F.col("n") <= sample)
+    last = cut(least.groupBy("lang").agg(F.max("h").alias("last")))
+    # a row for each language, as the model has
+    return rows.join(F.broadcast(last), "lang").filter("h <= last").dropDuplicates(["lang", "h"]).select("lang", "text")
+
+
+def learn(docs: DataFrame, pieces: list[str], doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages in alphabetical order, and probabilities by piece number and language, from the labelled rows given."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    chosen = rows.select("id", "lang", F.xxhash64("id").alias("h")).withColumn("n", rank).filter(F.col("n") <= sample)
-    ids = [r.id for r in chosen.select("id").distinct().limit(sample * LANGUAGES).collect()]  # bounded by the sample
-    if not ids:
-        return [], np.zeros((len(pieces) + 2, 0))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = Counter((g, w) for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in words_of(t))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["lang", "word", "n"])
-
-    session = docs.sparkSession
-    few = F.broadcast(session.createDataFrame([(i,) for i in ids], rows.select("id").schema))
-    n = rows.join(few, "id", "left_semi").select("text", "lang").mapInArrow(count, "lang string, word string, n long")
-    n = n.groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
-    found = n.filter(F.col("k") <= most_words).select("lang", "word", "n").collect()  # bounded likewise
-    languages = sorted({r.lang for r in found})
-    at, words = {g: i for i, g in enumerate(languages)}, {}
-    for r in found:
-        if len(r.word) < LONG:
-            words.setdefault(MARK + r.word, np.zeros(len(languages)))[at[r.lang]] += r.n
-    lattice = Lattice(pieces)
+            for t, g in zip(b.column(1), b.column(0).to_pylist(), strict=True):
+                n = Counter(MARK + w[at : at + LONG] if not at else w[at : at + LONG] for w in words_of(t.as_py()) for at in range(0, len(w), LONG))
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(n), pa.string()), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["lang", "word", "n"])
+
+    found = sampled(docs, doc_id, text, lang, sample).mapInArrow(words, "lang string, word string, n long")
+    found = cut(found.groupBy("word", "lang").agg(F.sum("n").alias("n")))
+    languages = sorted(r.lang for r in found.select("lang").distinct().collect())  # a row for each
     p = np.full((len(pieces) + 2, len(languages)), 1 / len(pieces))
+    if not languages:
+        return [], p
+    sent = docs.sparkSession.sparkContext.broadcast((pieces, languages))
     for _ in range(rounds):
         p[0], p[-1] = 0, UNKNOWN
-        c = lattice.counts(words, p)[1:-1] + 0.01
+        now = docs.sparkSession.sparkContext.broadcast(p)
+
+        def expected(batches: Iterator[pa.RecordBatch], now: Broadcast = now) -> Iterator[pa.RecordBatch]:
+            lattice, at = Lattice(sent.value[0]), {g: i for i, g in enumerate(sent.value[1])}
+            total = np.zeros_like(now.value)
+            for b in batches:
+                for start in range(0, b.num_rows, WORDS):
+                    own: dict[str, np.ndarray] = {}
+                    for g, w, n in zip(*(c.to_pylist() for c in b.slice(start, WORDS).columns), strict=True):
+                        own.setdefault(w, np.zeros(len(at)))[at[g]] += n
+                    total += lattice.counts(own, now.value)
+            piece, language = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(language), pa.array(total[piece, language])], ["piece", "language", "n"])
+
+        c = np.zeros_like(p)
+        made = found.select("lang", "word", "n").mapInArrow(expected, "piece long, language long, n double")
+        made = made.groupBy("piece", "language").agg(F.sum(F.col("n").cast("decimal(38,9)")).cast("double").alias("n")).toArrow()  # a model's size
+        c[made["piece"].to_numpy(), made["language"].to_numpy()] = made["n"].to_numpy()
+        c = c[1:-1] + 0.01
         p[1:-1] = c / c.sum(0)
     p[0], p[-1] = 0, UNKNOWN
     return languages, p
