@@ -115,6 +115,35 @@ from d left join cut on d.doc_id = cut.doc_id left join kept on d.doc_id = kept.
 """
 
 
+OP8 = r"""
+with recursive c as (select row_number() over () as rid, conv_id, turn, role, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) as t from conversations),
+raw as (select rid, unnest(string_split(t, chr(10))) as x, unnest(range(1, 2 + length(t) - length(replace(t, chr(10), '')))) as i from c),
+line as (select rid, i, length(regexp_replace(regexp_extract(x, '^([ \t]*>)+'), '[^>]', '', 'g')) as level, regexp_replace(x, '^([ \t]*>)+ ?', '') as body from raw),
+told as (select *, level = 0 and regexp_matches(body, '(?i)\b(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$') and coalesce(lead(level) over w, 0) > 0 as announces,
+  case when level is distinct from lag(level) over w then 1 else 0 end as new from line window w as (partition by rid order by i)),
+own as (select rid, trim(coalesce(string_agg(body, chr(10) order by i) filter (level = 0 and not announces), ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') as t from told group by rid),
+run as (select *, sum(new) over (partition by rid order by i) as run from told),
+passage as (select rid, run, any_value(level) as level, string_agg(body, chr(10) order by i) as t from run where level > 0 group by rid, run),
+many as (select rid, count(*) as n from passage group by rid),
+said as (select rid, null::bigint as level, t from own union all select rid, level, t from passage),
+unit as (select rid, level, 0 as kind, t from said union all select rid, level, 1, unnest(regexp_split_to_array(t, '\n[ \t]*\n')) from said union all select rid, level, 2, unnest(string_split(t, chr(10))) from said),
+norm as (select c.conv_id, c.turn, level, kind, trim(regexp_replace(lower(u.t), '[\s\x0b]+', ' ', 'g')) as t from unit u join c using (rid) where c.conv_id is not null and c.turn is not null),
+wrote as (select t, conv_id, min(turn) as turn from norm where level is null and t <> '' group by t, conv_id),
+firsts as (select t, min((conv_id, turn)) as org from wrote group by t),
+quote as (select conv_id, turn, t, min((level, kind)) as how from norm where level is not null and t <> '' group by conv_id, turn, t),
+origin as (select q.conv_id, q.turn, how, coalesce(case when w.turn < q.turn then (w.conv_id, w.turn) end, case when length(q.t) >= 20 and f.org < (q.conv_id, q.turn) then f.org end) as org
+  from quote q left join wrote w on w.t = q.t and w.conv_id = q.conv_id left join firsts f on f.t = q.t),
+parent as (select conv_id, turn, org[1] as pc, org[2] as pt from origin where org is not null qualify row_number() over (partition by conv_id, turn order by how, org desc) = 1),
+chain as (select conv_id, turn, pc, pt from parent union all select chain.conv_id, chain.turn, p.pc, p.pt from chain join parent p on p.conv_id = chain.pc and p.turn = chain.pt),
+top as (select conv_id, turn, pc as top from chain where not exists (select 1 from parent p where p.conv_id = chain.pc and p.turn = chain.pt)),
+start as (select conv_id, min(turn) as start from c where conv_id is not null and turn is not null group by conv_id)
+select c.conv_id, c.turn, c.role, own.t as text, coalesce(many.n, 0)::bigint as n_quoted, pc as parent_conv, pt as parent_turn,
+  case when c.conv_id is not null and c.turn is not null then coalesce(top, c.conv_id) end as root_conv,
+  case when c.conv_id is not null and c.turn is not null then s.start end as root_turn
+from c join own using (rid) left join many using (rid) left join parent p on p.conv_id = c.conv_id and p.turn = c.turn
+  left join top on top.conv_id = c.conv_id and top.turn = c.turn left join start s on s.conv_id = coalesce(top, c.conv_id)
+"""
+
 COMMON = ", ".join(f"('{w}')" for w in sorted(set(quality_rules.COMMON)))
 OP9 = rf"""
 with d as (select doc_id, lang, coalesce(text, '') as t from documents),
@@ -145,4 +174,4 @@ from judged left join near using (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op7_warc": OP7, "op9_quality_rules": OP9, "op10_suffix_dedup": OP10}
+    return {"op2_line_dedup": OP2, "op7_warc": OP7, "op8_quotation_links": OP8, "op9_quality_rules": OP9, "op10_suffix_dedup": OP10}
