@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import cut
+from corvina.llm.common import cut, sent_if_few
 
 MARKS = r"^(?:[ \t]*>)+"
 WROTE = r"(?i)\b(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
@@ -59,7 +59,7 @@ def units(text: Column, min_chars: int) -> Column:
     of_kind = lambda a, k: F.transform(a, lambda x: F.struct(normal(x).alias("t"), F.lit(k).alias("kind")))
     every = F.concat(of_kind(F.array(text), 0), of_kind(F.split(text, r"\n[ \t]*\n"), 1), of_kind(F.split(text, "\n"), 2))
     every = F.when(F.contains(text, F.lit("\n")), every).otherwise(of_kind(F.array(text), 0))
-    return F.transform(F.filter(every, lambda x: x["t"] != ""), lambda x: F.struct(F.sha2(x["t"], 256).alias("hash"), x["kind"].alias("kind"), (F.length(x["t"]) >= min_chars).alias("long")))
+    return F.transform(F.filter(every, lambda x: x["t"] != ""), lambda x: F.struct(F.unhex(F.sha2(x["t"], 256)).alias("hash"), x["kind"].alias("kind"), (F.length(x["t"]) >= min_chars).alias("long")))
 
 
 def link(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", min_chars: int = 20, most_rounds: int = 60) -> DataFrame:
@@ -71,8 +71,8 @@ def link(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     quotes = known.filter(F.size("quoted") > 0).select(me.alias("me"), F.explode("quoted").alias("q")).select("me", F.col("q.level").alias("level"), F.explode(units(F.col("q.text"), min_chars)).alias("u"))
     quotes = cut(quotes.select("me", "level", "u.hash", "u.kind", "u.long").groupBy("me", "hash").agg(F.min(F.struct("level", "kind")).alias("how"), F.max("long").alias("long")))
     # only hashes that somebody quotes
-    asked = quotes.select("hash").distinct()
-    wrote = known.select(me.alias("by"), F.explode(units(F.col("own"), min_chars)).alias("u")).select("by", "u.hash").join(asked, "hash", "left_semi")
+    asked = cut(quotes.select("hash").distinct())
+    wrote = known.select(me.alias("by"), F.explode(units(F.col("own"), min_chars)).alias("u")).select("by", "u.hash").join(sent_if_few(asked), "hash", "left_semi")
     here = wrote.groupBy("hash", F.col("by.conv_id").alias("conv")).agg(F.min("by").alias("by"))
     first = here.groupBy("hash").agg(F.min("by").alias("any"))
     found = quotes.withColumn("conv", F.col("me.conv_id")).join(here, ["hash", "conv"], "left").join(first, "hash", "left")
@@ -90,8 +90,8 @@ def link(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
             break
     else:
         raise RuntimeError(f"links didn't settle in {most_rounds} rounds")
-    linked = parents.join(up, "me").select(F.col("me.conv_id").alias("_c"), F.col("me.turn").alias("_t"), "parent", "top", "n")
-    out = rows.join(linked, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left")
+    linked = cut(parents.join(up, "me").select(F.col("me.conv_id").alias("_c"), F.col("me.turn").alias("_t"), "parent", "top", "n"))
+    out = rows.join(sent_if_few(linked), (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left")
     out = out.withColumn("_conv", F.coalesce("top.conv_id", F.col("conv_id"))).join(starts.select(F.col("conv_id").alias("_conv"), "start"), "_conv", "left")
     whole = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     return out.select(
