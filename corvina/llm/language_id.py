@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from corvina.llm.common import cut
 
-SAMPLE, ROUNDS, SALTS = 400, 3, 64
+SAMPLE, ROUNDS, SALTS = 400, 3, 8
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: What a character that no piece covers counts; characters at most that the array code takes; words in a task's table.
