@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql.window import Window
 from corvina import rules
 from corvina.functions import records as R
 from corvina.functions import text as T
-from corvina.functions.python import nfc, nfkc, ratio
+from corvina.functions.python import nfc, nfkc, ratio_from
 
 
 def parsed(files: DataFrame, name: str = "name") -> DataFrame:
@@ -36,7 +38,7 @@ def near_titles(files: DataFrame, index: DataFrame, least: float = 0.85, margin:
     a, b = F.length("f.key"), F.length("t.key")
     pairs = files.select("name", "edition", "key").distinct().alias("f").join(index.alias("t"), F.col("f.edition") == F.col("t.edition"))
     # 2 * shared / (a + b) is at most 2 * min / (a + b); runners-up matter down to least - margin
-    pairs = pairs.filter(2 * F.least(a, b) >= (least - margin - 1e-9) * (a + b)).select("f.name", F.col("t.by_title").alias("by_near"), ratio(F.col("f.key"), F.col("t.key")).alias("r"))
+    pairs = pairs.filter(2 * F.least(a, b) >= (least - margin - 1e-9) * (a + b)).select("f.name", F.col("t.by_title").alias("by_near"), ratio_from(least - margin)(F.col("f.key"), F.col("t.key")).alias("r"))
     best = pairs.groupBy("name").agg(F.max(F.struct("r", (-F.col("by_near")).alias("m"))).alias("one"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("r") >= least - margin, F.col("r"))), asc=False).alias("rs"))
     sure = (F.col("one.r") >= least) & (F.coalesce(F.col("one.r") - F.get("rs", F.lit(1)), F.lit(1.0)) >= margin)
     return best.filter(sure).select("name", (-F.col("one.m")).alias("by_near"))
@@ -74,23 +76,61 @@ def file_codes(found: DataFrame) -> DataFrame:
     return found.filter("work is not null").groupBy(F.col("work").alias("sid")).agg(F.max_by(F.struct("code", "grp", F.col("name").alias("file")), "name").alias("x")).select("sid", "x.*")
 
 
-def chosen(title: str, pool: list[tuple[int, str]], waiting: bool) -> int | None:
-    """The place in a pool of (id, key) of the work that a title key goes to: equal, else alone in containing or being
-    contained, else alone in sharing the first five characters and clearly the most alike, else by far the most alike."""
-    if waiting or not pool:
+class Pool:
+    """The free works of an edition, by the letters of their titles. The likest two are found by an upper bound first (the
+    characters that two titles have in common), so that few pairs are aligned."""
+
+    def __init__(self, ids: list[int], keys: list[str]):
+        self.ids, self.keys, self.free = ids, keys, np.ones(len(ids), bool)
+        self.sizes = np.array([len(k) for k in keys], np.int64)
+        self.chars = np.stack([self.classes(k) for k in keys]) if keys else np.zeros((0, 128), np.int64)
+
+    @staticmethod
+    def classes(key: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(key.encode("utf-32-le", "surrogatepass"), np.uint32) % 128, minlength=128)
+
+    def likest(self, title: str) -> tuple[int, float, float]:
+        """The place of the work with the greatest ratio (the first of equal ones), that ratio, and the next one's."""
+        bound = np.where(self.free, 2 * np.minimum(self.chars, self.classes(title)).sum(1) / np.maximum(1, self.sizes + len(title)), -1)
+        top: list[tuple[float, int]] = []
+        for i in np.argsort(-bound, kind="stable").tolist():
+            if bound[i] < 0 or len(top) > 1 and bound[i] < top[1][0]:
+                break
+            top = sorted([*top, (SequenceMatcher(None, title, self.keys[i]).ratio(), -i)], reverse=True)[:2]
+        (first, at), (second, _) = (top + [(0.0, 0)] * 2)[:2]
+        return -at, first, second
+
+    def those(self, holds: Callable[[str], bool]) -> list[int]:
+        return [i for i in np.flatnonzero(self.free).tolist() if holds(self.keys[i])]
+
+    def take(self, title: str) -> int | None:
+        """The id of the work that a title goes to, which is then no longer free. ``RULES`` says which works a rule is about, from
+        which length of title on, and, where only the likest may be taken, its least ratio and least lead."""
+        if not self.free.any():
+            return None
+        lead = None
+        for least_size, related, alone, least, margin in RULES:
+            found = self.those(lambda k, related=related: related(title, k)) if len(title) >= least_size else []
+            if not found or (alone and len(found) > 1):
+                continue
+            at = found[0]
+            if margin is not None:
+                lead = lead or self.likest(title)
+                if lead[0] not in found or lead[1] < least or lead[1] - lead[2] < margin:
+                    continue
+                at = lead[0]
+            self.free[at] = False
+            return self.ids[at]
         return None
-    scored = sorted(((SequenceMatcher(None, title, k).ratio(), -i) for i, (_, k) in enumerate(pool)), reverse=True) + [(0.0, 0)]
-    best, margin = -scored[0][1], scored[0][0] - scored[1][0]
-    same = [i for i, (_, k) in enumerate(pool) if k == title]
-    inside = [i for i, (_, k) in enumerate(pool) if len(title) >= 4 and (title in k or k in title)]
-    front = [i for i, (_, k) in enumerate(pool) if len(title) >= 2 and (k.startswith(title[:5]) or title.startswith(k[:5]))]
-    if same:
-        return same[0]
-    if len(inside) == 1:
-        return inside[0]
-    if front == [best] and margin >= 0.1 or scored[0][0] >= 0.5 and margin >= 0.2:
-        return best
-    return None
+
+
+#: Least length of the title, relation to a work's title, whether one work alone may have it, least ratio, least lead.
+RULES = (
+    (0, lambda t, k: t == k, False, None, None),
+    (4, lambda t, k: t in k or k in t, True, None, None),
+    (2, lambda t, k: k.startswith(t[:5]) or t.startswith(k[:5]), True, 0.0, 0.1),
+    (0, lambda t, k: True, False, 0.5, 0.2),
+)
 
 
 def assigned(files: DataFrame, works: DataFrame, order: str = "position") -> DataFrame:
@@ -100,11 +140,9 @@ def assigned(files: DataFrame, works: DataFrame, order: str = "position") -> Dat
     pool = works.filter((F.col("src") == rules.NATIONAL) & (F.col("type") == rules.WORK)).select(F.col("edition_no").alias("edition"), "id", T.title_key(nfkc(F.col("title"))).alias("key"))
 
     def assign(files: pd.DataFrame, works: pd.DataFrame) -> pd.DataFrame:
-        free = list(works.sort_values("id")[["id", "key"]].itertuples(index=False, name=None))
-        out = []
-        for f in files.sort_values("at").itertuples():
-            at = chosen(f.key, free, f.waiting)
-            out.append((f.name, free.pop(at)[0] if at is not None else None))
+        works = works.sort_values("id")
+        free = Pool(works["id"].tolist(), works["key"].tolist())
+        out = [(f.name, None if f.waiting else free.take(f.key)) for f in files.sort_values("at").itertuples()]
         return pd.DataFrame(out, columns=["name", "work"]).astype({"work": "Int64"})
 
     return left.groupBy("edition").cogroup(pool.groupBy("edition")).applyInPandas(assign, "name string, work long")

@@ -364,11 +364,11 @@ def file_names(w: DataFrame) -> DataFrame:
     i = F.col("id")
     code = F.when(i % 3 == 0, F.lpad((80000 + i % 10000).cast("string"), 6, "0")).otherwise(F.lpad((i % 90 + 10).cast("string"), 2, "0"))
     title = F.regexp_replace(F.when(i % 7 == 1, F.concat(F.lit("123_"), "title", F.lit("（國小教師組）"))).otherwise(F.col("title")), "[\n\r/]", "")
-    return w.filter((F.col("src") == rules.NATIONAL) & (i % 2 == 1)).select(i.alias("want"), F.concat(F.lit("第"), F.col("edition_no").cast("string"), F.lit("屆_國小組_物理_佳作_"), code, F.lit("_"), title, F.lit(".pdf")).alias("name"))
+    return w.filter(F.col("src") == rules.NATIONAL).select(i.alias("want"), F.concat(F.lit("第"), F.col("edition_no").cast("string"), F.lit("屆_國小組_物理_佳作_"), code, F.lit("_"), title, F.lit(".pdf")).alias("name"))
 
 
 FILES = f"""{S.WORKS}, {S.CODES}, files as (select id as want, '第' || edition_no || '屆_國小組_物理_佳作_' || case when id % 3 = 0 then lpad((80000 + id % 10000)::varchar, 6, '0') else lpad((id % 90 + 10)::varchar, 2, '0') end || '_' ||
-  regexp_replace(case when id % 7 = 1 then '123_' || title || '（國小教師組）' else title end, '[\n\r/]', '', 'g') || '.pdf' as name from works where src = '全國' and id % 2 = 1),
+  regexp_replace(case when id % 7 = 1 then '123_' || title || '（國小教師組）' else title end, '[\n\r/]', '', 'g') || '.pdf' as name from works where src = '全國'),
 p as (select *, regexp_extract(name, '^第(\\d+)屆_([^_]+)_.*?_(\\d{{2,6}})_(.+)\\.pdf$', ['ed', 'grp', 'code', 'title']) as m from files),
 q as (select *, regexp_extract(m.title, '^((?:\\d{{2,4}}_)*)', 1) as front from p),
 parsed_files as (select want, name, try_cast(nullif(m.ed, '') as int) as edition, nullif(m.grp, '') as grp, coalesce(nullif(regexp_extract(front, '(\\d{{2,4}})_$', 1), ''), nullif(m.code, '')) as code, regexp_replace(substr(m.title, length(front) + 1), '[（(][^）)]*組[）)]$', '') as title from q)"""
@@ -488,7 +488,7 @@ def glyph_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def learn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in which one letter is written wrongly throughout, next to their clean abstracts."""
-    w = works(spark, sf_dir).filter(F.length("abstract").between(100, 600))
+    w = works(spark, sf_dir)
     bad = F.concat(F.lit("封面" * 30), F.translate("abstract", "eo", "烉炻"))
     return fulltext.learned(w.select(F.col("id").alias("sid"), bad.alias("text")), w)
 
@@ -527,9 +527,9 @@ def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- display, names, plans -----------------------------------------------------------------------------------------
 
 
-@query(f"with {S.WORKS}, {S.CASCADE}, {S.parse('works', 'award_raw')} select id, concat_ws(' · ', src, year::varchar, case when src = '全國' then nullif(split_part(edition, '--', 1), '') end, stage || case when stage_src = '推測' then '?' else '' end, nullif(subject, ''), case when rank is distinct from '未得獎' then nullif(concat_ws('・', rank, case when len(special) > 0 then array_to_string(special, '・') end), '') end, nullif(school, '')) as meta from parsed join final using (id) where len(special) < 2")
+@query(f"with {S.WORKS}, {S.CASCADE}, {S.parse('works', 'award_raw')} select id, concat_ws(' · ', src, year::varchar, case when src = '全國' then nullif(split_part(edition, '--', 1), '') end, stage || case when stage_src = '推測' then '?' else '' end, nullif(subject, ''), case when rank is distinct from '未得獎' then nullif(concat_ws('・', rank, case when len(special) > 0 then array_to_string(special, '・') end), '') end, nullif(school, '')) as meta from parsed join final using (id)")
 def display_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return full(spark, sf_dir).filter(F.size("special") < 2).select("id", search.meta_line().alias("meta"))
+    return full(spark, sf_dir).select("id", search.meta_line().alias("meta"))
 
 
 NAME = f"'第' || coalesce(edition_no::varchar, 'None') || '屆_' || coalesce({S.case('coalesce(stage_detail, stage)', rules.STAGE_GROUPS)}, '組別未知') || '_' || subject || '_' || coalesce(rank, '未列獎項') || '_' || coalesce(code, '000000') || '_' || title"
@@ -590,7 +590,7 @@ def section_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.serving(works(spark, sf_dir)).select("id", F.md5(search.marked(RANKED, F.col("abstract"), 500)).alias("marked"))
+    return search.serving(works(spark, sf_dir)).select("id", F.md5(search.marked(RANKED, F.col("abstract"), None)).alias("marked"))
 
 
 @query()

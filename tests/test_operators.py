@@ -1,5 +1,7 @@
 """Operators on small frames, against what the rules say or a plain computation."""
 
+import random
+from collections import Counter
 from difflib import SequenceMatcher
 from itertools import product
 
@@ -145,13 +147,66 @@ def test_greedy_assignment_takes_works_away(spark):
     assert list(out.values()).count(0) == 1 and out["第1屆_a_b_12_abcdefgh.pdf"] == 1 and out["第1屆_a_b_12_abcdexyz.pdf"] is None and out["第2屆_a_b_12_q.pdf"] is None
 
 
-def test_sections():
-    assert [fulltext.number_of(x) for x in ("壹", "拾", "十一", "二十", "")] == [0, 9, 10, 19, -1]
-    assert [fulltext.kind_of(x) for x in ("研究結果與討論", "實驗材料與方法", "文獻探討")] == ["研究結果", "研究設備及器材", None]
+def test_sections(spark):
+    def of(rule, *texts):
+        rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").coalesce(1)
+        return [r.y for r in rows.select("i", rule(F.col("x")).alias("y")).orderBy("i").collect()]
+
+    assert of(fulltext.numeral_value, "壹", "拾", "十一", "二十", "") == [0, 9, 10, 19, -1]
+    assert of(fulltext.section_kind, "研究結果與討論", "實驗材料與方法", "文獻探討") == ["研究結果", "研究設備及器材", None]
     body = "內容文字" * 10
     text = f"一、研究目的...1\n\n壹、研究動機\n{body}\n貳、研究目的\n{body}\n參、研究方法：\n{body}甲\n肆、結論\n短\n壹、研究目的\n{body}"
-    assert [(s["h"], s["k"]) for s in fulltext.split_sections(text)] == [("貳、研究目的", "研究目的"), ("參、研究方法", "研究過程或方法"), ("肆、結論", "結論")]
-    assert fulltext.split_sections("nothing") == []
+    found, none, null = of(fulltext.sections, text, "nothing", None)
+    assert [(s["h"], s["k"]) for s in found] == [("貳、研究目的", "研究目的"), ("參、研究方法", "研究過程或方法"), ("肆、結論", "結論")]
+    assert none == null == []
+    # the last section before the numbers begin again takes what is left of the text
+    assert [s["text"] for s in found] == [body, body + "甲", f"短壹、研究目的{body}"]
+    # a table of contents without page numbers: of sections of one name the longest stays; unnumbered headings; too few kinds
+    twice = f"研究目的\n{body}\n研究結果\n{body}\n研究目的\n{body}{body}\n"
+    alone = f"一、研究目的\n{body}\n二、其他\n{body}"
+    found, none = of(fulltext.sections, twice, alone)
+    assert [(s["h"], s["k"], s["text"]) for s in found] == [("研究結果", "研究結果", body), ("研究目的", "研究目的", body + body)] and none == []
+    inner = f"壹、目的\n{body}\n貳、方法...... 7\n{body}\n參、方法 12\n{body}\n肆、結論\n{body}"
+    assert [(s["h"], s["text"]) for s in of(fulltext.sections, inner)[0]] == [("壹、目的", f"{body}貳、方法...... 7\n{body}參、方法 12\n{body}"), ("肆、結論", body)]
+
+
+def test_windows_and_replacements():
+    good = "the quick brown fox jumps over the lazy dog while seven wizards box quietly"
+    bad = good.replace("o", "烉").replace("z", "炻")
+    text = "封面" * 50 + bad + "x" * 300
+    best, share = fulltext.nearest_window(text, good)
+    rated = [(2 * sum((Counter(w) & Counter(good)).values()) / (len(w) + len(good)), w) for at in range(0, len(text) - len(good), 40) for w in [text[at : at + len(good) + 60]]]
+    assert share == pytest.approx(max(r for r, _ in rated)) and best == next(w for r, w in rated if r == max(x for x, _ in rated))
+    assert fulltext.nearest_window("", good) == (None, 0.0)
+    assert set(fulltext.replaced(bad, good)) == {("烉", "o"), ("炻", "z")} and len(fulltext.replaced(bad, good)) == good.count("o") + good.count("z")
+    assert fulltext.replaced("", good) == fulltext.replaced(good, good) == []
+
+
+def test_pools_take_as_all_pairs_do():
+    """Next to a pool without bounds: every ratio, sorted."""
+    rng = random.Random(3)
+    for _ in range(60):
+        keys = ["".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 14))) for _ in range(12)]
+        pool, free = match.Pool(list(range(12)), keys), list(range(12))
+        for _ in range(8):
+            t = list(rng.choice(keys))
+            for _ in range(rng.randrange(4)):
+                t[rng.randrange(len(t))] = rng.choice("abcdefx")
+            t = "".join(t)[: rng.randrange(1, 16)]
+            ranked = sorted(((-SequenceMatcher(None, t, keys[i]).ratio(), i) for i in free)) + [(0.0, -1)]
+            first, lead = ranked[0][1], ranked[1][0] - ranked[0][0]
+            equal, inside = [i for i in free if keys[i] == t], [i for i in free if t in keys[i] or keys[i] in t]
+            front = [i for i in free if keys[i].startswith(t[:5]) or t.startswith(keys[i][:5])]
+            if equal:
+                want = equal[0]
+            elif len(t) >= 4 and len(inside) == 1:
+                want = inside[0]
+            elif (len(t) >= 2 and front == [first] and lead >= 0.1) or (-ranked[0][0] >= 0.5 and lead >= 0.2):
+                want = first
+            else:
+                want = None
+            assert pool.take(t) == want
+            free = [i for i in free if i != want]
 
 
 def test_trim(spark):
