@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina import rules
+from corvina import rules, schemas
 from corvina.functions import records as R
 from corvina.functions import text as T
 from corvina.operators import curate, export, fulltext, match, packing, search, similar, snapshots
 from corvina.plans import adapters as A
 from corvina.plans import sql as S
-from corvina.sources import readers
+from corvina.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -593,7 +595,176 @@ def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.serving(works(spark, sf_dir)).select("id", F.md5(search.marked(RANKED, F.col("abstract"), None)).alias("marked"))
 
 
-@query()
+DETAIL = 0
+
+
+@query(f"""with {S.WORKS}, links as (select 'similar' as kind, rank::int as at, other as o from ({SQL['similar_top8']}) where id = {DETAIL} union all
+select 'related', (generate_subscripts(a, 1) - 1)::int, unnest(a) from (select string_split(related, '|')::bigint[] as a from ({SQL['related_links']}) where id = {DETAIL} and related <> ''))
+select kind, at, w.id, title, src, year from links join works w on w.id = o""")
 def detail_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a work that has neighbours and works of the same title in the other contest."""
     linked = curate.related(works(spark, sf_dir))
-    return search.detail(linked, 7, similar.similar(linked))[1]
+    return search.detail(linked, DETAIL, similar.similar(linked))[1]
+
+
+# ---- files that are written and read back --------------------------------------------------------------------------
+
+
+def folder(spark: SparkSession) -> str:
+    """A new place in the folder that driver and executors share; a temporary one only where they are one process."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='corvina-')}/{uuid.uuid4().hex}"
+
+
+@query(f"with {S.RAW}, u as (select sid, case when t <> '' then t else 'old ' end as title, text, pdf from raw where t <> '' or sid % 4 = 1) select sid, title, md5(text) as text_md5, case when pdf is null then 0 else 1 end as files from u")
+def crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log in which a quarter of the records has an earlier line: the last titled line of a sid counts."""
+    rows, path = A.raw(spark, sf_dir), folder(spark)
+    early = rows.filter("sid % 4 = 1").withColumn("作品名稱", F.concat(F.lit("old "), "作品名稱"))
+    sinks.json_lines(early, f"{path}/1")
+    sinks.json_lines(rows, f"{path}/2")
+    return readers.raw_records(spark, f"{path}/*").select("sid", F.col("作品名稱").alias("title"), F.md5("摘要或動機").alias("text_md5"), F.size("檔案連結").alias("files"))
+
+
+@query(f"with {S.WORKS}, {S.CODES} select '第' || (14 + id % 52) || '屆' as edition, code, {S.pick(A.OFFICIAL, 'id')} as award from codes where id % 5 = 2 and id % 2 = 0")
+def official_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, path = A.official(spark, sf_dir), folder(spark)
+    rows.write.option("header", True).csv(path)
+    return readers.csv(spark, path, rows.schema).select(F.col("屆次").alias("edition"), F.col("作品編號").alias("code"), F.col("名次").alias("award"))
+
+
+@query("select n_nationkey::bigint as sid, n_name as value from nation")
+def map_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file that is one JSON object; of nations, as such a file is read by one task."""
+    path = folder(spark)
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string").alias("k"), F.col("n_name").alias("v"))))
+    A.table(spark, sf_dir, "nation").agg(F.to_json(pairs).alias("value")).write.text(path)
+    return readers.json_map(spark, path, "string")
+
+
+@query("select n_nationkey::bigint as sid, n_name as name from nation")
+def array_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file that is one JSON array over several lines."""
+    path = folder(spark)
+    row = F.struct(F.col("n_nationkey").cast("long").alias("sid"), F.col("n_name").alias("name"))
+    A.table(spark, sf_dir, "nation").agg(F.replace(F.to_json(F.collect_list(row)), F.lit("},{"), F.lit("},\n{")).alias("value")).write.text(path)
+    return readers.json_array(spark, path, schemas.of("sid long, name string"))
+
+
+# ---- pages of the site, made from the records ----------------------------------------------------------------------
+
+
+@query("select distinct (c % 7)::varchar as cat, sid::bigint as sid from (select l_orderkey % 97 as c, l_suppkey as sid from lineitem)")
+def list_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both, amp = A.table(spark, sf_dir, "lineitem"), F.when(F.col("l_linenumber") % 2 == 0, "&amp;").otherwise("&")
+    link = F.concat(F.lit('<a href="detail.aspx?a=21'), amp, F.lit("cat="), (F.col("l_orderkey") % 97 % 7).cast("string"), amp, F.lit("sid="), F.col("l_suppkey").cast("string"), F.lit('">x</a> <a href="detail.aspx?a=21&sid=1">y</a>'))
+    return readers.listed(both.select(link.alias("html")))
+
+
+@query(f"with {S.RAW} select sid, {S.txt('t')} as title, md5({S.txt('text')}) as text_md5, nullif(subj, '') as subject, sch as school, coalesce(pdf is not null, false) as has_file from raw")
+def record_page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record pages with every label twice, of which the last counts."""
+    text = lambda c: T.html_escape(F.coalesce(c, F.lit("")))
+    pair = lambda k, v: F.concat(F.lit(f'<p class="title x">{k}</p>\n<p class="v">'), v, F.lit("</p>"))
+    rows = A.raw(spark, sf_dir)
+    html = F.concat(
+        F.lit('<div class="sciencefair-title"><p class="t">'), text(F.col("作品名稱")), F.lit("</p></div>"),
+        pair("科別", F.lit("first")), pair("學校名稱", F.lit("first")), pair("科別", text(F.col("科別"))), pair("學校名稱", text(F.col("學校名稱"))),
+        F.lit('<div class="summary-movtivation"><h1>x</h1> <div class="article-content a">'), text(F.col("摘要或動機")), F.lit("</div></div>"),
+        F.when(F.size("檔案連結") > 0, '<a href="https://www.ntsec.edu.tw/article/FileAtt.ashx?id=7">f</a>').otherwise(""),
+    )
+    out = readers.record_pages(rows.select("sid", html.alias("html")))
+    return out.select("sid", F.col("作品名稱").alias("title"), F.md5("摘要或動機").alias("text_md5"), F.col("科別").alias("subject"), F.col("學校名稱").alias("school"), (F.size("檔案連結") > 0).alias("has_file"))
+
+
+@query("select page_id, case when page_id % 3 = 0 then 'ok' when page_id % 5 = 1 then '下載失敗：' || left(repeat('timeout ' || page_id || ' ', 9), 60) else '不是 PDF（連結可能已失效）' end as status from pages")
+def fetch_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    head = F.encode(F.concat(F.when(i % 3 == 0, "%PDF-1.4").otherwise(""), F.coalesce("html", F.lit(""))), "UTF-8")
+    error = F.when(i % 5 == 1, F.repeat(F.concat(F.lit("timeout "), i.cast("string"), F.lit(" ")), 9))
+    return A.table(spark, sf_dir, "pages").select("page_id", R.fetch_status(head, error).alias("status"))
+
+
+@query("select page_id, url from pages where page_id % 4 in (0, 1)")
+def document_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that end in .pdf in any case count, those that begin with '._' and others don't."""
+    i = F.col("page_id")
+    name = F.concat(F.when(i % 4 == 2, "._").otherwise(""), F.lit("a"), i.cast("string"), F.when(i % 4 == 0, ".PDF").when(i % 4 == 3, ".pdf.zip").otherwise(".pdf"))
+    return A.table(spark, sf_dir, "pages").filter(R.is_document(name)).select("page_id", "url")
+
+
+# ---- snapshots, plans, choices -------------------------------------------------------------------------------------
+
+
+@query(f"with {S.RAW} select sid from raw union all select unnest(range(m + 1, m + 2001)) from (select max(sid) as m from raw)")
+def ids_to_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.to_check(A.raw(spark, sf_dir))
+
+
+@query(rf"""with {NEW}, j as (select o.sid, trim(o.t, chr(10) || chr(13) || chr(9) || ' ') as ot, trim(n.t, chr(10) || chr(13) || chr(9) || ' ') as nt, o.sch as os, n.sch as ns from old o join new n using (sid) where n.error is null and n.t <> ''),
+d as (select sid from j where ot <> nt union all select sid from j where os <> ns),
+s as (select case when n.error is not null then 'failed' when coalesce(n.t, '') = '' then 'gone' else 'there' end as state from old o left join new n using (sid))
+select '2026-01-01' as date, (select count(*) from old) as known, (select count(*) from d) as differences, (select count(distinct sid) from d) as works_changed, (select count(*) from s where state = 'gone') as gone,
+(select count(*) from s where state = 'failed') as failed, (select count(*) from new where t <> '' and sid > (select max(sid) from old)) as added""")
+def snapshot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = A.raw(spark, sf_dir).filter("`作品名稱` <> ''")
+    return snapshots.summary(old, changed(old), "2026-01-01").select("date", "known", "differences", "works_changed", "gone", "failed", "added")
+
+
+@query(f"""select base, year, n, case when max(bin) over (partition by base) = 0 then base else base || '_' || min(year) over b || case when min(year) over b <> max(year) over b then '-' || max(year) over b else '' end || '年' end as folder
+from ({SQL['greedy_pack']}) window b as (partition by base, bin)""")
+def folder_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = works(spark, sf_dir).filter(F.col("src") == rules.INTERNATIONAL).withColumn("base", R.folder_base(F.col("domains")))
+    return packing.ranged_folders(rows, "base", "year", PACK)
+
+
+@query(f"""with {S.WORKS}, {S.CASCADE}, g as (select coalesce(domain, '其他') || '_' || edition_no as base, stage, count(*) as n from works join final using (id) where src = '全國' and stage is not null group by 1, 2)
+select base, stage, n, case when n < 5 and right(base, 1) not in ('3', '7') then '其他_' || stage else base end as target from g""")
+def small_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New files by subject, edition and stage; folders of editions that end in 3 or 7 are there."""
+    base = F.concat(R.folder_base(F.col("domains")), F.lit("_"), F.col("edition_no").cast("string"))
+    new = full(spark, sf_dir).filter((F.col("src") == rules.NATIONAL) & F.col("stage").isNotNull()).groupBy(base.alias("base"), "stage").agg(F.count("*").alias("n"))
+    return packing.merged_small(new, new.filter(F.right("base", F.lit(1)).isin("3", "7")))
+
+
+@query(f"with {FILES}, bc as (select edition_no as edition, code, max(id) as a from works join codes using (id) where code is not null group by 1, 2), bt as (select edition_no as edition, {S.letters('title')} as key, max(id) as b from works where src = '全國' and type = '作品' group by 1, 2) select want, coalesce(a, b) as work from parsed_files f left join bc on f.edition = bc.edition and f.code = bc.code left join bt on f.edition = bt.edition and {S.letters('f.title')} = bt.key where f.edition is not null and coalesce(a, b) is not null")
+def strict_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strict match ends with an error if a file has no work, so it is given those that have one."""
+    coded = curate.codes(works(spark, sf_dir), A.filenames(spark, sf_dir), A.file_codes(spark, sf_dir))
+    names = match.matched(file_names(coded), coded, fuzzy=False).filter("work is not null").select("want", "name")
+    return match.strictly_matched(names, coded).select("want", "work")
+
+
+@query(f"with {S.WORKS} select id, edition_no from works where edition_no in (20, 21, 40)")
+def edition_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.of_editions(works(spark, sf_dir), (20, 21, 40)).select("id", "edition_no")
+
+
+@query("select doc_id::varchar as wrong, case when doc_id % 3 = 0 then 'old' else 'new' end as \"right\" from documents")
+def repairs_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of repairs of which old pairs stay, behind those of all documents."""
+    new = A.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("wrong"), F.lit("new").alias("right"))
+    return fulltext.merged_repairs(new.filter("cast(wrong as long) % 3 = 0").withColumn("right", F.lit("old")), new)
+
+
+@query(rf"""with {S.WORKS}, p as (select id, '第 ' || id % 90 || ' 頁' || chr(10) || abstract || chr(10) || chr(10) || chr(10) || '  - ' || id % 1000 || ' -' || chr(10) || '水溫 25 o C　下' || chr(10) || '降，甲' || chr(10) || '乙' || chr(10) || '丙' as x from works),
+a as (select id, regexp_replace(regexp_replace(x, '(?m)^\s*(第\s*\d+\s*頁|[-–—]?\s*\d{{1,3}}\s*[-–—]?)\s*$', '', 'g'), '(\d)\s*\n?\s*o\s*\n?\s*C\b', '\1°C', 'g') as x from p),
+b as (select id, regexp_replace(x, '[ \t　]+', ' ', 'g') as x from a), c as (select id, regexp_replace(x, '([一-鿿，、；：（）「」])\n([一-鿿，、；：（）「」])', '\1\2', 'g') as x from b),
+d as (select id, regexp_replace(x, '([一-鿿，、；：（）「」])\n([一-鿿，、；：（）「」])', '\1\2', 'g') as x from c)
+select id, md5(regexp_replace(regexp_replace(x, '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\s\x{{a0}}\x{{3000}}]+|[\s\x{{a0}}\x{{3000}}]+$', '', 'g')) as text from d""")
+def paragraphs_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    text = F.concat(F.lit("第 "), (i % 90).cast("string"), F.lit(" 頁\n"), "abstract", F.lit("\n\n\n  - "), (i % 1000).cast("string"), F.lit(" -\n水溫 25 o C　下\n降，甲\n乙\n丙"))
+    return works(spark, sf_dir).select("id", F.md5(T.paragraphs(text)).alias("text"))
+
+
+STATES = ("q=solar+cell&yf=1990&c=%E5%8F%B0%E5%8C%97%E5%B8%82&sort=old", "rv=1&yt=x&w=17", "")
+
+
+@query("select * from (values (0, 'solar cell', 1990, '台北市', false, 'old', null, 2), (1, '', null, '', true, 'rel', 17, 1), (2, '', null, '', false, 'rel', null, 0)) t(n, q, year_from, city, review, sort, opened, active)")
+def url_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [search.SearchRequest.from_query_string(s) for s in STATES]
+    rows = [(n, r.q, r.year_from, r.city, r.review, r.sort, r.open, r.active) for n, r in enumerate(found)]
+    return spark.createDataFrame(rows, "n int, q string, year_from int, city string, review boolean, sort string, opened int, active int")
