@@ -598,9 +598,9 @@ def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 DETAIL = 0
 
 
-@query(f"""with {S.WORKS}, links as (select 'similar' as kind, rank::int as at, other as o from ({SQL['similar_top8']}) where id = {DETAIL} union all
+@query(f"""with {S.WORKS}, links as (select 'similar' as kind, rank::int as "at", other as o from ({SQL['similar_top8']}) where id = {DETAIL} union all
 select 'related', (generate_subscripts(a, 1) - 1)::int, unnest(a) from (select string_split(related, '|')::bigint[] as a from ({SQL['related_links']}) where id = {DETAIL} and related <> ''))
-select kind, at, w.id, title, src, year from links join works w on w.id = o""")
+select kind, "at", w.id, title, src, year from links join works w on w.id = o""")
 def detail_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a work that has neighbours and works of the same title in the other contest."""
     linked = curate.related(works(spark, sf_dir))
