@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import decontamination, language_id, license_scan, line_dedup, quality_rules, quotation_links, sentencepiece_codec, simhash, suffix_dedup, warc
+from corvina.llm import decontamination, fill_in_middle, hard_negatives, hidden_markov, language_id, license_scan, line_dedup, quality_rules, quotation_links, sentencepiece_codec, simhash, suffix_dedup, warc
 from corvina.llm.common import table
 
 
@@ -27,8 +27,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+def held_out(n: int = 3, rest: int = 1) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n == rest
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,10 +70,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=label)
+
+
+def op12_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score(table(spark, sf_dir, "documents"), held_out(7, 2))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c, 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontamination, op2_line_dedup, op3_language_id, op4_license_scan, op5_sentencepiece,
         op6_simhash, op7_warc, op8_quotation_links, op9_quality_rules, op10_suffix_dedup,
+        op11_hard_negatives, op12_hidden_markov, op13_fill_in_middle,
     )}
 
 
@@ -173,5 +189,27 @@ from judged left join near using (doc_id)
 """
 
 
+OP11 = """
+with r as (select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.id as a, b.id as b, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as s from r a join r b on a.id % 50 = 0 and a.id <> b.id),
+p as (select a, b, s from s where same qualify row_number() over (partition by a order by s desc, b) <= 5),
+n as (select p.a, p.b as p, p.s as ps, s.b as n, s.s as ns, row_number() over (partition by p.a, p.b order by s.s desc, s.b) as k
+  from p join s on s.a = p.a and not s.same and 50 * p.s <= 100 * s.s and 100 * s.s <= 95 * p.s)
+select a as anchor_id, p as positive_id, k::int as rank, n as negative_id, ps as positive_score, ns as negative_score from n where k <= 3
+"""
+
+OP13 = """
+with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || doc_id::varchar) as h from documents),
+g as (select doc_id, t, length(t) as n, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2, ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as i, greatest(h1 % (n + 1), h2 % (n + 1)) as j,
+  case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from g),
+x as (select *, substr(t, 1, i) as p, substr(t, i + 1, j - i) as m, substr(t, j + 1) as s from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then i end as prefix_chars, case when form <> 'plain' then j - i end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256
+from x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op7_warc": OP7, "op8_quotation_links": OP8, "op9_quality_rules": OP9, "op10_suffix_dedup": OP10}
+    return {"op11_hard_negatives": OP11, "op13_fill_in_middle": OP13, "op2_line_dedup": OP2, "op7_warc": OP7, "op8_quotation_links": OP8, "op9_quality_rules": OP9, "op10_suffix_dedup": OP10}
