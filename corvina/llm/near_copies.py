@@ -1,23 +1,22 @@
 """SimHash near-dedup at a similarity: the fuzzy keys of :mod:`corvina.llm.simhash` proposed wide, and an exact comparison.
 
 A text is the set of XXH64 hashes of its shingles of ``words`` words (a shorter text is one shingle, null and empty texts
-are the empty one). Its fingerprint has four segments of 23 bits and 256 bits more. Each segment is decoded to the indices of the
+are the empty one). Its fingerprint has four segments of 23 bits and 128 bits more. Each segment is decoded to the indices of the
 ``NEAREST`` Golay codewords, where a bit counts as much as its majority among the hashes is clear, as bits with a close vote are
-those that differ between near copies. A set is filed under all pairs of indices of every two of its segments. Sets that
-share a key go on if the 256 further bits differ in ``BITS`` at most (39 do at a similarity of 0.8, with a deviation of 6), and are
-linked if the Jaccard similarity of the sets themselves is ``similarity`` or more. Nothing below it is linked.
+those that differ between near copies. A set is filed under all pairs of indices of every two of its segments. Sets that share a
+key and differ in at most ``BITS`` of the further bits (19 do at a similarity of 0.8, with a deviation of 4, and 64 do by chance) are
+of one family, and so are those that a chain of such pairs joins. Within a family every two sets are compared whole: they are linked if
+their Jaccard similarity is ``similarity`` or more. Nothing below it is linked, and no pair of a family is left out.
 
 At a similarity of 0.8 two segments share one of their four codewords with a probability of 0.85 (votes taken as normally
-distributed), and two of four segments do with 0.987 (0.998 at 0.85). The README has the recall measured.
+distributed), and two of four segments do with 0.987 (0.998 at 0.85); a third text like both joins them as well. The README has the
+recall measured, on scattered pairs and on thousands of texts with one base.
 
-Only distinct sets take part, so copies cost nothing, and only sets of different groups (by the links found so far) are
-compared. A key of more than ``bucket`` sets isn't paired off: its set with the least hash is its hub, mostly the same for the
-keys of a group, and each set is compared with the least hub that its further bits allow. Then each key gets a second hub, another
-set for each key, and its sets are compared with that. Next come the pairs of the other keys. Those that have no link by then
-are compared with all sets that share a key, as far as a key has at most ``bucket`` of them; the others are filed again
-among themselves under indices of three segments, in the same way, and whoever is left in the end is compared with all others left
-that share the indices of four. What can be missed besides: in crowded keys, a link between groups of which no hub is like the
-other's set, and links of those left in the end that share fewer indices.
+Only distinct sets take part, so copies cost nothing, and no pair is ever a row: keys and families are streamed by tasks that
+return as few links as connect what they found. A key of more than ``MEMBERS`` sets, and a family of more than ``HASHES`` hashes, is cut into
+blocks, and each two blocks are a task's group of its own. Before that all are compared with one of them, the hub: those like it are
+joined by that, so that only blocks that hold others meet each other and the rest. So work grows with the square of a family only as
+far as its members aren't like the hub, and no task holds more than two blocks.
 
 Null ids come last, rows equal in id and text count as one. Texts of any length are read whole. Empty tables give empty results;
 extra columns are kept, whatever they are called.
@@ -26,24 +25,27 @@ extra columns are kept, whatever they are called.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvina.llm.common import cut, sent_if_few
 from corvina.llm.simhash import components, first_of_each, syndrome
 
-WORDS, SIMILARITY, BUCKET, BITS = 5, 0.8, 8, 50
+WORDS, SIMILARITY, BITS = 5, 0.8, 36
 SEGMENTS, WIDTH, NEAREST = 4, 23, 4
 KEY = ["_z", "_k", "_h"]
 #: The further bits.
-MORE = ("c", "d", "e", "f")
-#: Rows of a table of hubs that goes to all tasks; a larger one is joined. Sets whose keys are made together.
-HUBS, TOGETHER = 200_000, 1024
+MORE = ("c", "d")
+#: Sets of a key, and hashes of a family, that a block holds. Sets whose keys are made together.
+MEMBERS, HASHES, TOGETHER = 1024, 1 << 19, 1024
+#: Hubs that the sets of a key are compared with, all keys at a time, before pairs are looked at. Sets of a family that share a hash
+#: from which on a matrix is used.
+HUBS, DENSE = 4, 8
 
 
 def shingles(data: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -56,9 +58,9 @@ def shingles(data: bytes | None, words: int = WORDS) -> np.ndarray:
 
 
 def votes(h: np.ndarray) -> np.ndarray:
-    """How many more hashes have a bit set than not, for 64 bits of the hashes and of five mixtures of them."""
+    """How many more hashes have a bit set than not, for 64 bits of the hashes and of three mixtures of them."""
     out = []
-    for factor in (1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB):
+    for factor in (1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93):
         ones = np.zeros(64, np.int64)
         for at in range(0, len(h), 1 << 16):
             x = h[at : at + (1 << 16)]
@@ -101,7 +103,7 @@ def signed(rows: DataFrame, words: int) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 64):
                 b = whole.slice(start, 64)
-                sig, v = np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, 384), np.int64)
+                sig, v = np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, 256), np.int64)
                 for i, x in enumerate(b.column(3)):
                     h = shingles(x.as_buffer().to_pybytes() if x.is_valid else None, words)
                     sig[i], v[i] = xxhash.xxh64_intdigest(h.tobytes()), votes(h)
@@ -111,143 +113,245 @@ def signed(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(apply, "_z boolean, _k long, _h long, sig long, codes binary, " + ", ".join(f"{x} long" for x in MORE))
 
 
-def keyed(batch: pa.RecordBatch, together: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Some rows of (sig, codes, ...), and their keys (rows x n): for every choice of ``together`` segments all combinations of
-    their indices."""
-    for at in range(0, batch.num_rows, TOGETHER):
-        part = batch.slice(at, TOGETHER)
-        index = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, SEGMENTS, NEAREST).astype(np.int64)
-        made = []
-        for number, choice in enumerate(combinations(range(SEGMENTS), together)):
-            key = np.full((len(index), 1), 8 * together + number)
-            for s in choice:
-                key = ((key[:, :, None] << 12) | index[:, None, s]).reshape(len(index), -1)
-            made.append(key)
-        yield part, np.concatenate(made, axis=1)
-
-
-def filed(sets: DataFrame, together: int, fields: tuple[str, ...] = ("sig", *MORE, "root")) -> DataFrame:
-    """(key, fields) from (sig, codes, fields)."""
+def filed(sets: DataFrame, together: int = 2) -> DataFrame:
+    """(key, sig, further bits) from (sig, codes, further bits): for every choice of ``together`` segments a key for each
+    combination of their indices."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, key in keyed(b, together):
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.repeat(x.to_numpy(), key.shape[1])) for x in part.columns[2:])], ["key", *fields])
-
-    return sets.select("sig", "codes", *(F.col(f) for f in fields)).mapInArrow(apply, ", ".join(f"{x} long" for x in ("key", *fields)))
-
+            for at in range(0, b.num_rows, TOGETHER):
+                part = b.slice(at, TOGETHER)
+                index = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, SEGMENTS, NEAREST).astype(np.int64)
+                made = []
+                for number, choice in enumerate(combinations(range(SEGMENTS), together)):
+                    key = np.full((len(index), 1), 8 * together + number)
+                    for s in choice:
+                        key = ((key[:, :, None] << 12) | index[:, None, s]).reshape(len(index), -1)
+                    made.append(key)
+                key = np.concatenate(made, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.repeat(part.column(i).to_numpy(), key.shape[1])) for i in (0, 2, 3))], ["key", "sig", *MORE])
 
-def near(bits: int) -> F.Column:
-    """Whether the further bits of one set and those of another (with a 2 behind their names) differ in so many at most."""
-    return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}2"))) for x in MORE), F.lit(0)) <= bits
+    return sets.select("sig", "codes", *MORE).mapInArrow(apply, ", ".join(f"{x} long" for x in ("key", "sig", *MORE)))
 
 
-def paired(rows: DataFrame, bits: int) -> DataFrame:
-    """(x, y): sets (key, sig, further bits, root) that share a key, have different roots and may be alike."""
-    a, b = rows.withColumnRenamed("sig", "x"), rows.toDF("key", "y", *(f"{x}2" for x in MORE), "other")
-    return a.join(b, "key").filter((F.col("x") < F.col("y")) & (F.col("root") != F.col("other")) & near(bits)).select("x", "y")
+def blocked(rows: DataFrame, sizes: DataFrame, group: str, block: int) -> DataFrame:
+    """rows (group, sig, alone, ...) of large groups with (i, j), for each two blocks that are to meet: those of rows that are alone
+    (not like the hub) meet each other and all others. sizes: (group, n_alone, n_other), of which the hub is one."""
+    parts = lambda c: F.ceil(F.col(c) / block).cast("int")
+    own = F.pmod(F.xxhash64("sig"), F.when(F.col("alone"), F.col("_p")).otherwise(F.col("_q"))).cast("int") + F.when(F.col("alone"), 0).otherwise(F.col("_p"))
+    rows = rows.join(sizes.select(group, parts("n_alone").alias("_p"), parts("n_other").alias("_q")), group).filter("_p > 0").withColumn("_own", own)
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("alone"), F.col("_p") + F.col("_q")).otherwise(F.col("_p")) - 1))
+    return rows.withColumn("_x", other).filter("_x <> _own").withColumns({"i": F.least("_own", "_x"), "j": F.greatest("_own", "_x")}).drop("_p", "_q", "_own", "_x")
 
 
-def starred(sets: DataFrame, hubs: DataFrame, together: int, bits: int, least: bool = False) -> DataFrame:
-    """(y, x) for each of the sets (sig, codes, further bits, root): the hubs (key, sig, further bits, root) of its keys that may be like it and
-    have another root, or the least of them."""
-    if hubs.limit(HUBS + 1).count() > HUBS:
-        both = filed(sets, together).join(hubs.toDF("key", "x", *(f"{x}2" for x in MORE), "other"), "key").filter((F.col("root") != F.col("other")) & near(bits))
-        found = both.select(F.col("sig").alias("y"), "x")
-        return found.groupBy("y").agg(F.min("x").alias("x")) if least else found.distinct()
-    known = hubs.orderBy("key").toArrow()
-    sent = sets.sparkSession.sparkContext.broadcast([known[n].to_numpy() for n in ("key", "sig", "root", *MORE)])
+def streamed(rows: DataFrame, by: list[str], columns: list[str], found: Callable[[np.ndarray, list], tuple]) -> DataFrame:
+    """(a, b): links of each group, a group being the rows that are equal in ``by``: sorted together, and read by the task as a
+    stream. ``found`` gets where each group begins and the columns, for many groups at a time."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_of, hub_of, root_of, *more_of = sent.value
-        differ = lambda x, y: np.bitwise_count((x ^ y).view(np.uint64))
-        for b in batches:
-            for part, key in keyed(b, together):
-                sig, *more, root = (x.to_numpy() for i, x in enumerate(part.columns) if i != 1)
-                first = np.searchsorted(key_of, key.ravel(), "left")
-                n = np.searchsorted(key_of, key.ravel(), "right") - first
-                row = np.repeat(np.repeat(np.arange(len(sig)), key.shape[1]), n)
-                place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                like = (root_of[place] != root[row]) & (sum(differ(x[place], y[row]).astype(np.int64) for x, y in zip(more_of, more, strict=True)) <= bits)
-                row, hub = np.unique(np.stack([row[like], hub_of[place[like]]]), axis=1)
-                if least:
-                    row, one = np.unique(row, return_index=True)
-                    hub = hub[one]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[row]), pa.array(hub)], ["y", "x"])
+        held: list[pa.RecordBatch] = []
 
-    return sets.select("sig", "codes", *MORE, "root").mapInArrow(apply, "y long, x long")
+        def give(part: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
+            a, b = found(edges, part.columns[len(by) :])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+        def edges_of(part: pa.RecordBatch) -> np.ndarray:
+            new = np.zeros(part.num_rows, bool)
+            new[:1] = True
+            for c in part.columns[: len(by)]:
+                x = c.to_numpy()
+                new[1:] |= x[1:] != x[:-1]
+            return np.append(np.flatnonzero(new), part.num_rows)
 
-def rooted(rows: DataFrame, found: list[DataFrame]) -> DataFrame:
-    """rows with the root of their ``sig`` by the links found so far."""
-    if not found:
-        return rows.withColumn("root", F.col("sig"))
-    roots = sent_if_few(cut(components(joined(found))))
-    return rows.join(roots.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-
-
-def joined(found: list[DataFrame]) -> DataFrame:
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
-    return every.toDF("a", "b")
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            last = edges_of(b)[-2]
+            if last == 0 and all(held[0].column(i)[0] == b.column(i)[b.num_rows - 1] for i in range(len(by))):
+                continue  # all of it is one group as yet
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            at = edges_of(whole)
+            yield give(whole.slice(0, int(at[-2])), at[:-1])
+            held = [whole.slice(int(at[-2]))]
+        if held:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield give(whole, edges_of(whole))
+
+    return rows.select(*by, *columns).repartition(*by).sortWithinPartitions(*by).mapInArrow(apply, "a long, b long")
+
+
+def near(bits: int) -> Column:
+    """Whether the further bits of one set and those of another (with a 2 behind their names) differ in so many at most."""
+    return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}2"))) for x in MORE), F.lit(0)) <= bits
 
 
-def alike(pairs: DataFrame, rows: DataFrame, least: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (x, y) whose sets have the similarity, compared whole; the texts of these alone are shingled again."""
+def like(edges: np.ndarray, columns: list, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (sig, further bits) in groups: as few pairs as join all that differ in ``bits`` at most."""
+    sig, *more = (x.to_numpy() for x in columns)
+    size = np.diff(edges)
+    group = np.repeat(np.arange(len(size)), size)
+    some = np.flatnonzero((size > 1)[group])
+    sig, group, more = sig[some], group[some], [x[some] for x in more]
+    alike = lambda i, j: sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in more) <= bits
+    of, a, b = np.arange(len(sig)), [], []  # which set each belongs to
+    left = of.copy()
+    for _ in range(HUBS):  # the first of those left in each group, and those like it
+        if not len(left):
+            break
+        hub = left[np.searchsorted(group[left], group[left], "left")]
+        close = alike(hub, left)
+        of[left[close]] = hub[close]
+        a.append(sig[hub[close]])
+        b.append(sig[left[close]])
+        left = left[~close]
+    # all pairs of groups in which not all belong to one
+    several = np.zeros(len(size), bool)
+    begins = np.append(True, group[1:] != group[:-1]) if len(group) else np.zeros(0, bool)
+    first = np.flatnonzero(begins)[np.cumsum(begins) - 1] if len(group) else of
+    several[group[of != of[first]]] = True
+    rows = np.flatnonzero(several[group]) if len(group) else of
+    met = []
+    step = 1
+    while len(rows):
+        rows = rows[rows + step < len(group)]
+        rows = rows[group[rows] == group[np.minimum(rows + step, len(group) - 1)]]
+        pairs = rows[of[rows] != of[rows + step]]
+        pairs = pairs[alike(pairs, pairs + step)]
+        if len(pairs):
+            met.append(np.stack([of[pairs], of[pairs + step], pairs, pairs + step]))
+        step += 1
+    if met:
+        met = np.concatenate(met, axis=1)
+        _, one = np.unique(np.sort(met[:2], axis=0), axis=1, return_index=True)
+        a.append(sig[met[2, one]])
+        b.append(sig[met[3, one]])
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    return a[a != b], b[a != b]
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two sets have in common: hashes of few sets by their pairs, the others by products of 0/1 matrices."""
+    m, size = len(sets), np.array([len(x) for x in sets])
+    of = np.repeat(np.arange(m), size)
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, of = every[order], of[order]
+    start = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    n = np.diff(np.append(start, len(every)))
+    out = np.zeros(m * m, np.int64)
+    few = (n > 1) & (n < DENSE)
+    for step in range(1, DENSE - 1):
+        at = start[few & (n > step)]
+        for k in range(DENSE - 1 - step):
+            x = at[n[np.searchsorted(start, at)] > step + k] + k
+            out += np.bincount(of[x] * m + of[x + step], minlength=m * m)
+    out = out.reshape(m, m)
+    out += out.T
+    many = np.flatnonzero(n >= DENSE)
+    width = max(1, (1 << 22) // max(m, 1))
+    for at in range(0, len(many), width):
+        part = many[at : at + width]
+        which = np.repeat(np.arange(len(part)), n[part])
+        place = np.arange(len(which)) - np.repeat(np.cumsum(n[part]) - n[part], n[part]) + np.repeat(start[part], n[part])
+        table = np.zeros((m, len(part)), np.float32)
+        table[of[place], which] = 1
+        out += (table @ table.T).astype(np.int64)
+    return out
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """As few pairs as connect what a symmetric matrix connects."""
+    out, seen = [], np.zeros(len(linked), bool)
+    for i in range(len(linked)):
+        if not seen[i]:
+            seen[i] = True
+            left = [i]
+            while left:
+                x = left.pop()
+                new = np.flatnonzero(linked[x] & ~seen)
+                seen[new] = True
+                out += [(x, int(y)) for y in new]
+                left += new.tolist()
+    return out
+
+
+def similar(edges: np.ndarray, columns: list, similarity: float) -> tuple[list[int], list[int]]:
+    """Of rows (sig, set) in groups: as few pairs as join all that have the similarity."""
+    sig, a, b = columns[0].to_numpy(), [], []
+    values, at = columns[1].values.to_numpy(), columns[1].offsets.to_numpy()
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if hi - lo > 1:
+            sets = [values[at[i] : at[i + 1]] for i in range(lo, hi)]
+            size = np.array([len(x) for x in sets])
+            common = overlaps(sets)
+            linked = common >= (similarity - 1e-9) * (size[:, None] + size[None, :] - common)
+            np.fill_diagonal(linked, False)
+            pairs = forest(linked)
+            a += [int(sig[lo + x]) for x, _ in pairs]
+            b += [int(sig[lo + y]) for _, y in pairs]
+    return a, b
+
+
+def families(least: DataFrame, bits: int, members: int) -> DataFrame:
+    """(sig, root): the families of more than one set; least: (sig, codes, further bits), materialised."""
+    rows = filed(least)
+    large = cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > members).select("key"))
+    pairs = functools.partial(like, bits=bits)
+    if large.isEmpty():
+        return components(streamed(rows, ["key"], ["sig", *MORE], pairs)).toDF("sig", "root")
+    some = sent_if_few(large)
+    out = streamed(rows.join(some, "key", "left_anti"), ["key"], ["sig", *MORE], pairs)
+    # the members of large keys next to the hub: the member with the least hash, mostly the same for the keys of a group
+    crowd = cut(rows.join(some, "key", "left_semi"))
+    hubs = cut(crowd.groupBy("key").agg(F.min(F.struct("sig", *MORE)).alias("x")).select("key", F.col("x.sig").alias("hub"), *(F.col(f"x.{c}").alias(f"{c}2") for c in MORE)))
+    told = crowd.join(sent_if_few(hubs), "key").withColumn("alone", ~near(bits))
+    sizes = cut(told.groupBy("key").agg(F.count_if("alone").alias("n_alone"), F.count_if(~F.col("alone")).alias("n_other")))
+    starred = told.filter("not alone and sig <> hub").select(F.col("hub").alias("a"), F.col("sig").alias("b")).distinct()
+    met = streamed(blocked(told, sent_if_few(sizes), "key", members), ["key", "i", "j"], ["sig", *MORE], pairs)
+    return components(out.unionByName(starred).unionByName(met)).toDF("sig", "root")
+
+
+def links(rows: DataFrame, least: DataFrame, words: int, similarity: float, bits: int, members: int, hashes: int) -> DataFrame:
+    """(a, b): links that join all sets of a family that have the similarity; the texts of families alone are shingled again."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, TOGETHER):
-                part = b.slice(at, TOGETHER)
-                sets = [shingles(x.as_buffer().to_pybytes() if x.is_valid else None, words).view(np.int64) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["sig", "set"])
-
-    wanted = cut(least.select("sig", *KEY).join(pairs.select(F.explode(F.array("x", "y")).alias("sig")).distinct(), "sig"))
-    sets = cut(rows.join(sent_if_few(wanted), KEY).dropDuplicates(["sig"]).select("sig", "text").mapInArrow(apply, "sig long, set array<long>"))
-    both = pairs.join(sets.toDF("x", "p"), "x").join(sets.toDF("y", "q"), "y")
-    common = F.size(F.array_intersect("p", "q"))
-    return both.withColumn("n", common).filter(F.col("n") >= (similarity - 1e-9) * (F.size("p") + F.size("q") - F.col("n"))).select("x", "y")
-
-
-def links(rows: DataFrame, least: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bucket: int = BUCKET, bits: int = BITS) -> DataFrame:
-    """(a, b): links between the distinct sets; least: (sig, codes, further bits, _z, _k, _h), materialised."""
-    left, out = least.select("sig", "codes", *MORE), []
-    compare = lambda pairs: cut(alike(cut(pairs.distinct()), rows, least, words, similarity))
-    for together in range(2, SEGMENTS):
-        crowded = cut(filed(left, together, ()).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("key"))
-        few, some, now = sent_if_few(crowded), not crowded.isEmpty(), None
-        if some:
-            hub = lambda name, *by: F.min(F.struct(*by, "sig", *MORE)).alias(name)
-            hubs = filed(left, together, ("sig", *MORE)).join(few, "key", "left_semi")
-            hubs = cut(hubs.groupBy("key").agg(hub("one", F.lit(0)), hub("other", F.xxhash64("key", "sig").alias("h"))))
-            before = len(out)
-            for name in ("one", "other"):
-                now = cut(rooted(left, out))
-                own = cut(rooted(hubs.select("key", *(f"{name}.{x}" for x in ("sig", *MORE))), out).select("key", "sig", *MORE, "root"))
-                out.append(compare(starred(now, own, together, bits, least=name == "one")))
-        now = cut(rooted(left, out))
-        out.append(compare(paired(filed(now, together).join(few, "key", "left_anti"), bits)))
-        if not some:
-            break
-        # whoever has no link by now and has a crowded key
-        linked = cut(joined(out[before:]).select(F.explode(F.array("a", "b")).alias("sig")).distinct())
-        alone = filed(now.join(sent_if_few(linked), "sig", "left_anti"), together).join(few, "key", "left_semi")
-        many = sent_if_few(cut(alone.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("key")))
-        out.append(compare(starred(now, cut(alone.join(many, "key", "left_anti")), together, bits)))
-        left = cut(left.join(cut(alone.join(many, "key", "left_semi").select("sig").distinct()), "sig", "left_semi"))
-    else:
-        out.append(compare(paired(filed(cut(rooted(left, out)), SEGMENTS), bits)))
-    return joined(out)
-
-
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                sets = [shingles(x.as_buffer().to_pybytes() if x.is_valid else None, words).view(np.int64) for x in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], ["root", "sig", "set"])
+
+    wanted = cut(least.select("sig", *KEY).join(families(least, bits, members), "sig"))
+    one = rows.join(sent_if_few(wanted), KEY).dropDuplicates(["sig"]).select("root", "sig", "text")
+    sets = cut(one.mapInArrow(apply, "root long, sig long, set array<long>").withColumn("n", F.size("set")))
+    large = cut(sets.groupBy("root").agg(F.sum("n").alias("total"), F.min("sig").alias("hub")).filter(F.col("total") > hashes))
+    pairs = functools.partial(similar, similarity=similarity)
+    if large.isEmpty():
+        return streamed(sets, ["root"], ["sig", "set"], pairs)
+    some = sent_if_few(large)
+    out = streamed(sets.join(some.select("root"), "root", "left_anti"), ["root"], ["sig", "set"], pairs)
+    # the hub's set meets the members block by block
+    salt = F.ceil(F.col("total") / hashes).cast("int")
+    crowd = sets.join(some, "root").withColumn("salt", F.pmod(F.xxhash64("sig"), salt).cast("int"))
+    hubs = sets.join(some, "root").filter("sig = hub").select("root", F.col("set").alias("set2"), F.explode(F.sequence(F.lit(0), salt - 1)).alias("salt"))
+    common = F.size(F.array_intersect("set", "set2"))
+    told = crowd.join(hubs.hint("shuffle_hash"), ["root", "salt"]).withColumn("common", common)
+    alone = F.col("common") < (similarity - 1e-9) * (F.col("n") + F.size("set2") - F.col("common"))
+    told = cut(told.select("root", "sig", "hub", "n", "set", alone.alias("alone")))
+    sizes = cut(told.groupBy("root").agg(F.coalesce(F.sum(F.when(F.col("alone"), F.col("n"))), F.lit(0)).alias("n_alone"), F.sum(F.when(~F.col("alone"), F.col("n"))).alias("n_other")))
+    starred = told.filter("not alone and sig <> hub").select(F.col("hub").alias("a"), F.col("sig").alias("b"))
+    met = streamed(blocked(told.drop("hub", "n"), sent_if_few(sizes), "root", hashes), ["root", "i", "j"], ["sig", "set"], pairs)
+    return out.unionByName(starred).unionByName(met)
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bits: int = BITS, members: int = MEMBERS, hashes: int = HASHES) -> DataFrame:
     """(_z, _k, _h, root): the component of each row; z, k and h name the row by null id, id and hash of the text."""
     rows = named(docs, doc_id, text)
     by_doc = cut(signed(rows, words))
     least = by_doc.groupBy("sig").agg(F.first("codes").alias("codes"), *(F.first(x).alias(x) for x in MORE), F.min(F.struct(*KEY)).alias("x"))
     least = cut(least.select("sig", "codes", *MORE, "x.*"))
-    roots = components(links(rows, least, words, similarity, bucket))
+    roots = components(links(rows, least, words, similarity, bits, members, hashes))
     return by_doc.select(*KEY, "sig").join(roots, F.col("sig") == F.col("node"), "left").select(*KEY, F.coalesce("root", "sig").alias("root"))
 
 
