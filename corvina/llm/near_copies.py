@@ -178,7 +178,8 @@ def streamed(rows: DataFrame, by: list[str], columns: list[str], found: Callable
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             yield give(whole, edges_of(whole))
 
-    return rows.select(*by, *columns).repartition(*by).sortWithinPartitions(*by).mapInArrow(apply, "a long, b long")
+    # in order of sig too, so that a group of many keys has the same hub in most of them, and the same links
+    return rows.select(*by, *columns).repartition(*by).sortWithinPartitions(*by, "sig").mapInArrow(apply, "a long, b long")
 
 
 def near(bits: int) -> Column:
