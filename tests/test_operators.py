@@ -78,6 +78,29 @@ def test_snippet_and_highlight(spark):
     assert docs.orderBy("id").select(search.marked(req, F.col("abstract")).alias("m")).collect()[1].m == "<mark>needle</mark> &lt;x&gt;"
 
 
+@pytest.mark.parametrize(("block", "rows", "meetings"), [(2048, 512, 1 << 22), (7, 3, 20), (1, 1, 1)])
+def test_neighbours_by_brute_force(spark, monkeypatch, block, rows, meetings):
+    monkeypatch.setattr(similar, "ROWS", rows)
+    monkeypatch.setattr(similar, "MEETINGS", meetings)
+    rng = random.Random(2)
+    vectors = {i: {f"t{t}": rng.choice([0.1, 0.2, 0.5]) for t in rng.sample(range(25), rng.randrange(1, 8))} for i in range(0, 80, 2)}
+    vectors[100] = vectors[102] = vectors[4]  # ties
+    v = spark.createDataFrame([(i, t, x, k + 1) for i, one in vectors.items() for k, (t, x) in enumerate(one.items())], "id long, token string, x double, rank int")
+    title = {i: None if i % 10 == 0 else f"k{i % 9}" for i in vectors}
+    keys = spark.createDataFrame([(i, title[i]) for i in vectors] + [(999, "nobody")], "id long, key string")
+    want = set()
+    for i, a in vectors.items():
+        found = []
+        for j, b in vectors.items():
+            shared = [k for k, t in enumerate(a) if t in b]
+            score = round(sum(a[t] * b[t] for t in a if t in b), 10)
+            if title[i] != title[j] and score > 0.08:
+                found.append((-score, shared[0], j))
+        want |= {(i, k + 1, j, -s) for k, (s, _, j) in enumerate(sorted(found)[:3])}
+    assert {tuple(r) for r in similar.neighbours(v, keys, top=3, block=block).collect()} == want
+    assert similar.neighbours(v.limit(0), keys.limit(0)).count() == 0
+
+
 def test_similar_is_symmetric_and_skips_equal_titles(spark):
     texts = ["alpha beta gamma delta", "alpha beta gamma omega", "alpha beta zeta eta", "theta iota kappa", "lambda theta iota"] + [f"word{i} other{i}" for i in range(20)]
     w = works(spark, [dict(title=f"t{i // 2 if i < 2 else i}", abstract=t) for i, t in enumerate(texts)])
