@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -33,25 +32,6 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def ratio_from(least: float):  # noqa: ANN201
-    """As :func:`ratio`; pairs whose characters in common already keep it below ``least`` get that bound and aren't aligned."""
-
-    @F.pandas_udf(T.DoubleType())
-    def bounded(a: pd.Series, b: pd.Series) -> pd.Series:
-        counts: dict[str, Counter] = {}
-
-        def one(x: str | None, y: str | None) -> float | None:
-            if x is None or y is None:
-                return None
-            p, q = (counts.get(t) or counts.setdefault(t, Counter(t)) for t in (x, y))
-            bound = 2 * sum(min(n, q[c]) for c, n in p.items() if c in q) / ((len(x) + len(y)) or 1)
-            return bound if bound < least - 1e-9 else SequenceMatcher(None, x, y).ratio()
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    return bounded
-
-
 @F.pandas_udf(T.StringType())
 def legacy_name(s: pd.Series) -> pd.Series:
     """Zip entry names without the UTF-8 flag: read as code page 437, meant as UTF-8."""

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +15,11 @@ from pyspark.sql.window import Window
 from corvina import rules
 from corvina.functions import records as R
 from corvina.functions import text as T
-from corvina.functions.python import nfc, nfkc, ratio_from
+from corvina.operators.similar import tasks
+from corvina.functions.python import nfc, nfkc
+
+#: Titles of a block.
+BLOCK = 1024
 
 
 def parsed(files: DataFrame, name: str = "name") -> DataFrame:
@@ -32,16 +37,80 @@ def by_code(works: DataFrame) -> DataFrame:
     return works.filter(F.coalesce("code", F.lit("")) != "").groupBy(F.col("edition_no").alias("edition"), "code").agg(F.max("id").alias("by_code"))
 
 
-def near_titles(files: DataFrame, index: DataFrame, least: float = 0.85, margin: float = 0.1) -> DataFrame:
-    """(name, by_near) for files whose title is alike enough to one of their edition's, and clearly less to any other. The edition
-    is the block; titles that can't reach the ratio by their length alone aren't compared."""
-    a, b = F.length("f.key"), F.length("t.key")
-    pairs = files.select("name", "edition", "key").distinct().alias("f").join(index.alias("t"), F.col("f.edition") == F.col("t.edition"))
-    # 2 * shared / (a + b) is at most 2 * min / (a + b); runners-up matter down to least - margin
-    pairs = pairs.filter(2 * F.least(a, b) >= (least - margin - 1e-9) * (a + b)).select("f.name", F.col("t.by_title").alias("by_near"), ratio_from(least - margin)(F.col("f.key"), F.col("t.key")).alias("r"))
-    best = pairs.groupBy("name").agg(F.max(F.struct("r", (-F.col("by_near")).alias("m"))).alias("one"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("r") >= least - margin, F.col("r"))), asc=False).alias("rs"))
-    sure = (F.col("one.r") >= least) & (F.coalesce(F.col("one.r") - F.get("rs", F.lit(1)), F.lit(1.0)) >= margin)
-    return best.filter(sure).select("name", (-F.col("one.m")).alias("by_near"))
+def common_subsequence(places: dict[str, int], size: int, other: str) -> int:
+    """The length of the longest common subsequence of a text, given as the places of each character (a bit each), and another."""
+    v = full = (1 << size) - 1
+    for c in other:
+        u = v & places.get(c, 0)
+        v = (v + u | v - u) & full
+    return size - v.bit_count()
+
+
+class Titles:
+    """Some titles of an edition, for the question which of them are likest to another. What can't reach a ratio is left out by what
+    bounds it from above: twice the characters that two titles have in common over all characters (by counts in 128 classes, for all
+    titles at once), then the same of their longest common subsequence, as the matcher's blocks are one."""
+
+    def __init__(self, keys: list[str], works: list[int]):
+        self.keys, self.works = keys, works
+        self.sizes, self.counts = np.array([len(k) for k in keys]), np.stack([Pool.classes(k) for k in keys])
+
+    def likest(self, title: str, least: float) -> list[tuple[float, int]]:
+        """(ratio, work) of the two likest from that ratio on; of equal ratios the least work first."""
+        both = np.maximum(1, self.sizes + len(title))
+        bound = 2 * np.minimum(self.counts, Pool.classes(title)).sum(1) / both
+        places: dict[str, int] = {}
+        for i, c in enumerate(title):
+            places[c] = places.get(c, 0) | 1 << i
+        top: list[tuple[float, int]] = []
+        for i in np.flatnonzero(bound >= least - 1e-9).tolist():
+            if 2 * common_subsequence(places, len(title), self.keys[i]) / both[i] >= max(least, top[1][0] if len(top) > 1 else 0) - 1e-9:
+                r = SequenceMatcher(None, title, self.keys[i]).ratio()
+                if r >= least:
+                    top = sorted([*top, (r, self.works[i])], key=lambda x: (-x[0], x[1]))[:2]
+        return top
+
+
+def likest_titles(files: DataFrame, index: DataFrame, least: float, block: int) -> DataFrame:
+    """(edition, key, r, by_title): for each key of files in each block of its edition's titles the two likest. An edition's titles, and
+    its files, are dealt to blocks of about ``block``, and each two are a group that one task streams, the titles first; so no pair is
+    a row, and an edition of any size is shared among tasks."""
+    t = index.select("edition", "key", F.col("by_title").alias("work"))
+    f = files.select("edition", "key").distinct().withColumn("work", F.lit(None).cast("long"))
+    n = [x.groupBy("edition").agg(F.ceil(F.count("*") / block).cast("int").alias(c)) for x, c in ((t, "nt"), (f, "nf"))]
+    parts = n[0].join(n[1], "edition")
+    own = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    sides = [t.join(parts, "edition").withColumns({"i": own("nt"), "j": every("nf"), "side": F.lit(0)}), f.join(parts, "edition").withColumns({"j": own("nf"), "i": every("nt"), "side": F.lit(1)})]
+    columns = ["edition", "i", "j", "side", "key", "work"]
+    dealt = sides[0].select(*columns).unionByName(sides[1].select(*columns)).repartition(tasks(files), "edition", "i", "j").sortWithinPartitions("edition", "i", "j", "side")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, keys, works, titles = None, [], [], None
+        for b in batches:
+            out = []
+            for e, i, j, side, key, work in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (e, i, j) != at:
+                    at, keys, works, titles = (e, i, j), [], [], None
+                if side == 0:
+                    keys.append(key)
+                    works.append(work)
+                elif keys:  # a block may have no title
+                    titles = titles or Titles(keys, works)
+                    out += [(e, key, r, w) for r, w in titles.likest(key, least)]
+            rows = zip(*out, strict=True) if out else ([],) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, (pa.int32(), pa.string(), pa.float64(), pa.int64()), strict=True)], ["edition", "key", "r", "by_title"])
+
+    return dealt.withColumn("edition", F.col("edition").cast("int")).mapInArrow(apply, "edition int, key string, r double, by_title long")
+
+
+def near_titles(files: DataFrame, index: DataFrame, least: float = 0.85, margin: float = 0.1, block: int = BLOCK) -> DataFrame:
+    """(name, by_near) for files whose title is alike enough to one of their edition's, and clearly less to any other."""
+    found = likest_titles(files, index, least - margin, block)
+    two = found.withColumn("k", F.row_number().over(Window.partitionBy("edition", "key").orderBy(F.desc("r"), "by_title"))).filter("k <= 2")
+    best = two.groupBy("edition", "key").agg(F.max(F.when(F.col("k") == 1, F.struct("r", "by_title"))).alias("one"), F.max(F.when(F.col("k") == 2, F.col("r"))).alias("second"))
+    sure = (F.col("one.r") >= least) & (F.coalesce(F.col("one.r") - F.col("second"), F.lit(1.0)) >= margin)
+    return files.select("name", "edition", "key").distinct().join(best.filter(sure), ["edition", "key"]).select("name", F.col("one.by_title").alias("by_near"))
 
 
 def matched(files: DataFrame, works: DataFrame, overrides: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:

@@ -162,6 +162,56 @@ def test_near_titles_by_brute_force(spark):
         assert out.get(f"第1屆_a_b_11_{n}.pdf") == (best[0][1] if sure else None)
 
 
+def test_near_titles_of_many(spark):
+    """Random titles and edits of them, in two editions and two alphabets, with titles that are alike among themselves."""
+    rng = random.Random(11)
+
+    def title(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    def misspelt(t):
+        return "".join("" if rng.random() < 0.05 else rng.choice("abc光") if rng.random() < 0.05 else c for c in t)
+
+    known = []
+    for e in (1, 2):
+        for letters in ("abcdefgh", "研究光合作用之葉綠素與溫度對蚵殼吸附的影響探討水"):
+            some = [title(letters, rng.randrange(3, 40)) for _ in range(25)]
+            known += [(e, t) for t in [*some, *(misspelt(t) for t in some[:10])] if t]
+    w = works(spark, [dict(title=t, edition_no=e) for e, t in known])
+    names = sorted({f"第{e}屆_a_b_11_{misspelt(t)}x.pdf" for e, t in known for _ in range(2)})
+    files = match.parsed(spark.createDataFrame([(n,) for n in names], "name string"))
+    index = match.titles(w)
+    out = {r.name: r.by_near for r in match.near_titles(files, index).collect()}
+    keys, want = {(r.edition, r.key): r.by_title for r in index.collect()}, {}
+    parsed = {r.name: r for r in files.collect()}
+    for n, f in parsed.items():
+        best = sorted(((-SequenceMatcher(None, f.key, k).ratio(), i) for (e, k), i in keys.items() if e == f.edition))
+        if -best[0][0] >= 0.85 and best[1][0] - best[0][0] >= 0.1:
+            want[n] = best[0][1]
+    assert out == want and 40 < len(want) < len(names)
+    assert {r.name: r.by_near for r in match.near_titles(files, index, block=4).collect()} == want
+
+
+def test_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc研") for _ in range(rng.randrange(0, 90))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for c in a:
+            row = lcs_row(row, c, b)
+        places = {c: sum(1 << i for i, x in enumerate(a) if x == c) for c in a}
+        n = match.common_subsequence(places, len(a), b)
+        assert n == row[-1]
+        assert sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks()) <= n
+
+
+def lcs_row(before, c, b):
+    row = [0]
+    for k, x in enumerate(b, 1):
+        row.append(before[k - 1] + 1 if x == c else max(before[k], row[-1]))
+    return row
+
+
 def test_greedy_assignment_takes_works_away(spark):
     w = works(spark, [dict(title="abcdefgh", edition_no=1), dict(title="abcdexyz", edition_no=1)])
     files = spark.createDataFrame([(0, "第1屆_a_b_11_abcdefgh.pdf"), (1, "第1屆_a_b_12_abcdefgh.pdf"), (2, "第1屆_a_b_12_abcdexyz.pdf"), (3, "第2屆_a_b_12_q.pdf")], "position long, name string")
