@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvina.operators.stored import stored
+
 
 def bins(counts: Column, limit: int) -> Column:
     """From an array of struct(key, n) in order of key: an array of struct(key, n, bin). A bin is closed before what would take
@@ -53,24 +57,122 @@ def half_split(rows: DataFrame, group: str, key: str, limit: int = 300) -> DataF
     return counts.join(named, group).select(group, key, "n", folder.alias("folder"))
 
 
-def byte_chunks(rows: DataFrame, id_: str, text: str, limit: int = 6_000_000, extra: int = 12) -> DataFrame:
-    """(id, chunk): texts in order of id, a chunk closed after the text that takes it over the limit; null and empty texts are
-    left out. Only ids and sizes are put in one order, read as a stream that keeps two numbers; the rule has no start but the first
-    row, so this one step has a single task."""
-    sizes = rows.filter(F.coalesce(text, F.lit("")) != "").select(F.col(id_).alias("id"), (F.octet_length(text) + extra).cast("long").alias("size"))
+def ranges(sizes: DataFrame, n: int) -> DataFrame:
+    """(p, id, size) from (id, size): rows in order of id, in n ranges, each a partition; written, so that they stay where they are."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, fill = 0, 0
+        p = TaskContext.get().partitionId()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, p, np.int32)), *b.columns], ["p", "id", "size"])
+
+    return stored(sizes.repartitionByRange(n, "id").sortWithinPartitions("id", "size").mapInArrow(apply, "p int, id long, size long"))
+
+
+def passages(size: np.ndarray, start: int, limit: int) -> Callable[[int], tuple[int, int]]:
+    """For one range, whose texts begin at the place ``start`` of the whole: from the place where the open chunk began when the range
+    is entered to that when it is left, and how many chunks were closed in between."""
+    end = start + np.cumsum(size)
+    closes = np.searchsorted(end, end - size + limit, "right")  # by the row that a chunk begins with the row that closes it
+    place, closed = (end - size).tolist(), [0] * len(size)
+    for i in range(len(size) - 1, -1, -1):
+        c = int(closes[i])
+        if c < len(size):
+            last = c + 1 == len(size)
+            place[i], closed[i] = (int(end[c]), 1) if last else (place[c + 1], closed[c + 1] + 1)
+
+    def through(x: int) -> tuple[int, int]:
+        c = int(np.searchsorted(end, x + limit, "right"))
+        if c == len(size):
+            return x, 0
+        return (int(end[c]), 1) if c + 1 == len(size) else (place[c + 1], closed[c + 1] + 1)
+
+    return through
+
+
+def crossings(rows: DataFrame, starts: list[int], limit: int) -> DataFrame:
+    """(b, x, b2, x2, n): if a chunk that began at x is open as range b is entered, one that began at x2 is as b2 = b + 1 is, and n chunks are
+    closed in b. For every x that may be so: the begin of any row that lies at most the limit before the range."""
+    n = len(starts)
+
+    def openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, fill = np.array(starts), None
+        for b in batches:
+            p, size = b.column(0).to_numpy(), b.column(2).to_numpy()
+            if len(size):
+                fill = starts[p[0]] if fill is None else fill
+                x = fill + np.cumsum(size) - size
+                fill = int(x[-1] + size[-1])
+                first, last = np.searchsorted(at, x, "left"), np.searchsorted(at, x + limit, "right")
+                many = np.maximum(0, last - first)
+                which = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+                yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(np.repeat(x, many))], ["p", "x"])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sizes, through = None, [], None
         for b in batches:
             out = []
-            for size in b.column(1).to_pylist():
-                out.append(chunk)
-                fill += size
-                if fill > limit:
-                    chunk, fill = chunk + 1, 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int32())], ["id", "chunk"])
-
-    return sizes.orderBy("id").coalesce(1).mapInArrow(apply, "id long, chunk int")
+            for p, kind, _, value in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if p != at:
+                    at, sizes, through = p, [], None
+                if kind == 0:
+                    sizes.append(value)
+                else:
+                    through = through or passages(np.array(sizes, np.int64), starts[p], limit)
+                    out.append((p, value, p + 1, *through(value)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([],) * 5, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["b", "x", "b2", "x2", "n"])
+
+    opened = rows.mapInArrow(openings, "p int, x long").distinct().select("p", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("id"), F.col("x").alias("value"))
+    both = rows.select("p", F.lit(0).alias("kind"), "id", F.col("size").alias("value")).unionByName(opened)
+    return both.repartition(n, "p").sortWithinPartitions("p", "kind", "id", "value").mapInArrow(follow, "b int, x long, b2 int, x2 long, n long")
+
+
+def entered(steps: DataFrame, n: int) -> list[tuple[int, int]]:
+    """For each of n ranges the place where the open chunk began as it is entered, and that chunk's number: steps of one, two, four,
+    ... ranges by joining them with themselves, then all ranges from the first by the longest steps first."""
+    ways = [stored(steps)]
+    while 1 << len(ways) < n:
+        one, two = ways[-1], ways[-1].toDF("b2", "x2", "b3", "x3", "m")
+        ways.append(stored(one.join(two, ["b2", "x2"]).select("b", "x", F.col("b3").alias("b2"), F.col("x3").alias("x2"), (F.col("n") + F.col("m")).alias("n"))))
+    known = steps.sparkSession.createDataFrame([(0, 0, 0)], "b int, x long, k long")
+    for way in reversed(ways):
+        known = stored(known.unionByName(known.join(way, ["b", "x"]).select(F.col("b2").alias("b"), F.col("x2").alias("x"), (F.col("k") + F.col("n")).alias("k"))).filter(F.col("b") < n))
+    found = {r.b: (r.x, r.k) for r in known.collect()}  # a row for each range
+    return [found.get(b, (0, 0)) for b in range(n)]
+
+
+def byte_chunks(rows: DataFrame, id_: str, text: str, limit: int = 6_000_000, extra: int = 12, n: int | None = None) -> DataFrame:
+    """(id, chunk): texts in order of id, a chunk closed after the text that takes it over the limit; null and empty texts are
+    left out. Ids and sizes are put into n ranges. Where the first chunk of a range begins depends on all before it, so each range tells
+    for every place where an open chunk may have begun what it makes of it; these steps are joined to longer ones, and then every
+    range numbers its own rows. Only sums of ranges go through the driver."""
+    sizes = rows.filter(F.coalesce(text, F.lit("")) != "").select(F.col(id_).cast("long").alias("id"), (F.octet_length(text) + extra).cast("long").alias("size"))
+    n = n or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = ranges(sizes, n)
+    totals = {r.p: r.total for r in placed.groupBy("p").agg(F.sum("size").alias("total")).collect()}
+    starts = [0]
+    for p in range(n - 1):
+        starts.append(starts[-1] + totals.get(p, 0))
+    states = entered(crossings(placed, starts, limit), n)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            p = b.column(0)[0].as_py()
+            x, k, fill = state or (*states[p], starts[p])
+            end = fill + np.cumsum(b.column(2).to_numpy())
+            chunk, at = np.zeros(len(end), np.int32), 0
+            while at < len(end):
+                c = min(int(np.searchsorted(end, x + limit, "right")), len(end))
+                chunk[at : c + 1] = k
+                if c < len(end):
+                    x, k = int(end[c]), k + 1
+                at = c + 1
+            state = x, k, int(end[-1])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(chunk)], ["id", "chunk"])
+
+    return placed.mapInArrow(apply, "id long, chunk int")
 
 
 def merged_small(groups: DataFrame, existing: DataFrame, least: int = 5) -> DataFrame:

@@ -122,6 +122,24 @@ def test_half_split(spark):
     assert {r.folder for r in packing.half_split(rows, "base", "ed", 1000).collect()} == {"g"}
 
 
+@pytest.mark.parametrize(("limit", "n"), [(100, 7), (1000, 3), (10, 5), (10**6, 4), (250, 1), (400, 16)])
+def test_byte_chunks_over_ranges(spark, limit, n):
+    """Ranges shorter and longer than a chunk, rows over the limit, and one range alone."""
+    rng = random.Random(limit)
+    sizes = [rng.choice([1, 5, 30, 90, 300]) for _ in range(150)]
+    rows = spark.createDataFrame([(i * 3, "x" * (k - 1)) for i, k in enumerate(sizes)] + [(1, None)], "id long, t string").repartition(5)
+    out = [r.chunk for r in packing.byte_chunks(rows, "id", "t", limit, extra=1, n=n).orderBy("id").collect()]
+    want, chunk, fill = [], 0, 0
+    for k in sizes:
+        if k > 1:
+            want.append(chunk)
+            fill += k
+            if fill > limit:
+                chunk, fill = chunk + 1, 0
+    assert out == want
+    assert packing.byte_chunks(rows.limit(0), "id", "t", limit, n=n).count() == 0
+
+
 def test_byte_chunks(spark):
     rows = spark.createDataFrame([(i, "é" * 10 if i % 5 else "") for i in range(20)], "id long, t string")
     out = [(r.id, r.chunk) for r in packing.byte_chunks(rows, "id", "t", 100).orderBy("id").collect()]
