@@ -30,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, upon which Spark removes the shuffles and cut tables that nothing refers to any more. A chain of
+    many steps would else keep them all until the driver's memory is full."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(doc_id: str, text: str) -> list:
     """Columns that name a row of documents even where ids repeat: the id and a hash of the text."""
     return [F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_th")]

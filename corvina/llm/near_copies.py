@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import cut, sent_if_few
+from corvina.llm.common import cut, sent_if_few, tidy
 from corvina.llm.simhash import components, first_of_each, syndrome
 
 WORDS, SIMILARITY, BITS = 5, 0.8, 36
@@ -41,8 +41,8 @@ SEGMENTS, WIDTH, NEAREST = 4, 23, 4
 KEY = ["_z", "_k", "_h"]
 #: The further bits.
 MORE = ("c", "d")
-#: Sets of a key, and hashes of a family, that a block holds. Sets whose keys are made together.
-MEMBERS, HASHES, TOGETHER = 1024, 1 << 19, 1024
+#: Sets of a key, and hashes of a family, that a block holds, where each set counts as so many hashes more. Sets whose keys are made together.
+MEMBERS, HASHES, EACH, TOGETHER = 1024, 1 << 19, 256, 1024
 #: Hubs that the sets of a key are compared with, all keys at a time, before pairs are looked at. Sets of a family that share a hash
 #: from which on a matrix is used.
 HUBS, DENSE = 4, 8
@@ -240,13 +240,13 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     every, of = every[order], of[order]
     start = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
     n = np.diff(np.append(start, len(every)))
-    out = np.zeros(m * m, np.int64)
+    out = np.zeros(m * m, np.int32)
     few = (n > 1) & (n < DENSE)
     for step in range(1, DENSE - 1):
         at = start[few & (n > step)]
         for k in range(DENSE - 1 - step):
             x = at[n[np.searchsorted(start, at)] > step + k] + k
-            out += np.bincount(of[x] * m + of[x + step], minlength=m * m)
+            np.add.at(out, of[x] * m + of[x + step], 1)
     out = out.reshape(m, m)
     out += out.T
     many = np.flatnonzero(n >= DENSE)
@@ -257,41 +257,38 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         place = np.arange(len(which)) - np.repeat(np.cumsum(n[part]) - n[part], n[part]) + np.repeat(start[part], n[part])
         table = np.zeros((m, len(part)), np.float32)
         table[of[place], which] = 1
-        out += (table @ table.T).astype(np.int64)
+        out += (table @ table.T).astype(np.int32)
     return out
 
 
-def forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """As few pairs as connect what a symmetric matrix connects."""
-    out, seen = [], np.zeros(len(linked), bool)
-    for i in range(len(linked)):
-        if not seen[i]:
-            seen[i] = True
-            left = [i]
-            while left:
-                x = left.pop()
-                new = np.flatnonzero(linked[x] & ~seen)
-                seen[new] = True
-                out += [(x, int(y)) for y in new]
-                left += new.tolist()
-    return out
+def stars(linked: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a symmetric matrix connects: the least sig of each component, and each other of its members."""
+    root, left = np.full(len(sig), -1), np.argsort(sig)
+    for i in left.tolist():
+        if root[i] < 0:
+            root[i] = i
+            new = np.array([i])
+            while len(new):
+                new = np.flatnonzero(linked[new].any(0) & (root < 0))
+                root[new] = i
+    others = np.flatnonzero(root != np.arange(len(sig)))
+    return sig[root[others]], sig[others]
 
 
-def similar(edges: np.ndarray, columns: list, similarity: float) -> tuple[list[int], list[int]]:
-    """Of rows (sig, set) in groups: as few pairs as join all that have the similarity."""
-    sig, a, b = columns[0].to_numpy(), [], []
+def similar(edges: np.ndarray, columns: list, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (sig, set) in groups: the least set of each component of those that have the similarity, and each other."""
+    sig, a, b = columns[0].to_numpy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     values, at = columns[1].values.to_numpy(), columns[1].offsets.to_numpy()
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if hi - lo > 1:
-            sets = [values[at[i] : at[i + 1]] for i in range(lo, hi)]
-            size = np.array([len(x) for x in sets])
-            common = overlaps(sets)
+            size = np.diff(at[lo : hi + 1])
+            common = overlaps([values[at[i] : at[i + 1]] for i in range(lo, hi)])
             linked = common >= (similarity - 1e-9) * (size[:, None] + size[None, :] - common)
             np.fill_diagonal(linked, False)
-            pairs = forest(linked)
-            a += [int(sig[lo + x]) for x, _ in pairs]
-            b += [int(sig[lo + y]) for _, y in pairs]
-    return a, b
+            x, y = stars(linked, sig[lo:hi])
+            a.append(x)
+            b.append(y)
+    return np.concatenate(a), np.concatenate(b)
 
 
 def families(least: DataFrame, bits: int, members: int) -> DataFrame:
@@ -313,8 +310,9 @@ def families(least: DataFrame, bits: int, members: int) -> DataFrame:
     return components(out.unionByName(starred).unionByName(met)).toDF("sig", "root")
 
 
-def links(rows: DataFrame, least: DataFrame, words: int, similarity: float, bits: int, members: int, hashes: int) -> DataFrame:
-    """(a, b): links that join all sets of a family that have the similarity; the texts of families alone are shingled again."""
+def linked_sets(rows: DataFrame, least: DataFrame, words: int, similarity: float, bits: int, members: int, hashes: int) -> DataFrame:
+    """(node, root): for sets that have the similarity with another of their family, the least set that such links lead to; the texts of
+    families alone are shingled again."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -324,14 +322,17 @@ def links(rows: DataFrame, least: DataFrame, words: int, similarity: float, bits
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], ["root", "sig", "set"])
 
     wanted = cut(least.select("sig", *KEY).join(families(least, bits, members), "sig"))
+    tidy(rows.sparkSession)
     one = rows.join(sent_if_few(wanted), KEY).dropDuplicates(["sig"]).select("root", "sig", "text")
     sets = cut(one.mapInArrow(apply, "root long, sig long, set array<long>").withColumn("n", F.size("set")))
-    large = cut(sets.groupBy("root").agg(F.sum("n").alias("total"), F.min("sig").alias("hub")).filter(F.col("total") > hashes))
+    large = cut(sets.groupBy("root").agg(F.sum(F.col("n") + EACH).alias("total"), F.min("sig").alias("hub")).filter(F.col("total") > hashes))
     pairs = functools.partial(similar, similarity=similarity)
+    final = lambda stars: stars.select(F.explode(F.array(F.struct(F.col("b").alias("node"), F.col("a").alias("root")), F.struct(F.col("a").alias("node"), F.col("a").alias("root")))).alias("x")).select("x.*").distinct()
     if large.isEmpty():
-        return streamed(sets, ["root"], ["sig", "set"], pairs)
+        return final(streamed(sets, ["root"], ["sig", "set"], pairs))
     some = sent_if_few(large)
-    out = streamed(sets.join(some.select("root"), "root", "left_anti"), ["root"], ["sig", "set"], pairs)
+    # a family that is one group has all its links in it
+    out = final(streamed(sets.join(some.select("root"), "root", "left_anti"), ["root"], ["sig", "set"], pairs))
     # the hub's set meets the members block by block
     salt = F.ceil(F.col("total") / hashes).cast("int")
     crowd = sets.join(some, "root").withColumn("salt", F.pmod(F.xxhash64("sig"), salt).cast("int"))
@@ -340,10 +341,10 @@ def links(rows: DataFrame, least: DataFrame, words: int, similarity: float, bits
     told = crowd.join(hubs.hint("shuffle_hash"), ["root", "salt"]).withColumn("common", common)
     alone = F.col("common") < (similarity - 1e-9) * (F.col("n") + F.size("set2") - F.col("common"))
     told = cut(told.select("root", "sig", "hub", "n", "set", alone.alias("alone")))
-    sizes = cut(told.groupBy("root").agg(F.coalesce(F.sum(F.when(F.col("alone"), F.col("n"))), F.lit(0)).alias("n_alone"), F.sum(F.when(~F.col("alone"), F.col("n"))).alias("n_other")))
+    sizes = cut(told.groupBy("root").agg(F.coalesce(F.sum(F.when(F.col("alone"), F.col("n") + EACH)), F.lit(0)).alias("n_alone"), F.sum(F.when(~F.col("alone"), F.col("n") + EACH)).alias("n_other")))
     starred = told.filter("not alone and sig <> hub").select(F.col("hub").alias("a"), F.col("sig").alias("b"))
     met = streamed(blocked(told.drop("hub", "n"), sent_if_few(sizes), "root", hashes), ["root", "i", "j"], ["sig", "set"], pairs)
-    return out.unionByName(starred).unionByName(met)
+    return out.unionByName(components(starred.unionByName(met)))
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bits: int = BITS, members: int = MEMBERS, hashes: int = HASHES) -> DataFrame:
@@ -352,7 +353,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     by_doc = cut(signed(rows, words))
     least = by_doc.groupBy("sig").agg(F.first("codes").alias("codes"), *(F.first(x).alias(x) for x in MORE), F.min(F.struct(*KEY)).alias("x"))
     least = cut(least.select("sig", "codes", *MORE, "x.*"))
-    roots = components(links(rows, least, words, similarity, bits, members, hashes))
+    tidy(docs.sparkSession)
+    roots = linked_sets(rows, least, words, similarity, bits, members, hashes)
     return by_doc.select(*KEY, "sig").join(roots, F.col("sig") == F.col("node"), "left").select(*KEY, F.coalesce("root", "sig").alias("root"))
 
 

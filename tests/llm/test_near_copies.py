@@ -82,7 +82,7 @@ def test_crowds_of_one_base(spark, n, edits, sizes):
     print(pairs, n - len(want), n - len(got))
 
 
-def test_overlaps_and_forest():
+def test_overlaps_and_stars():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50))) for _ in range(30)]
     want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
@@ -91,7 +91,8 @@ def test_overlaps_and_forest():
     assert (got == want).all()
     linked = np.zeros((5, 5), bool)
     linked[0, 3] = linked[3, 0] = linked[3, 4] = linked[4, 3] = linked[0, 4] = linked[4, 0] = True
-    assert near_copies.forest(linked) == [(0, 3), (0, 4)]
+    root, other = near_copies.stars(linked, np.array([50, 20, 30, 10, 40]))
+    assert sorted(zip(root.tolist(), other.tolist(), strict=True)) == [(10, 40), (10, 50)]
 
 
 def test_like_joins_all_that_are_like():
