@@ -476,12 +476,17 @@ def redacted_site(spark: SparkSession, sf_dir: str) -> DataFrame:
 FREQUENCIES = {"的": 900, "，": 800, "。": 500, "是": 300, "在": 250, "與": 200, "中": 180, "實": 150, "驗": 150, "水": 120, "研": 100, "究": 100}
 
 
-@query()
+GLYPH_PAGE = "的，是在的水中實驗。與研究的，的水是在。" * 3
+
+
+@query(f"""with p as (select doc_id, coalesce(text, '') || chr(10) || '炻烉炻烉炻烉' as own from documents),
+b as (select *, len(regexp_extract_all(own, {S.text(rules.GARBLED)})) >= 5 or len(regexp_extract_all(own, {S.text(rules.ODD_SCRIPT)})) >= 30 as bad from p)
+select doc_id as sid, case when doc_id % 2 = 0 then '{GLYPH_PAGE}' || chr(10) else '' end || case when bad then translate(own, '烉炻ˤ愞', '：，）溶') else own end as text from b""")
 def glyph_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts as a page; by id, next to a page of Chinese written as glyph numbers shifted by 436."""
+    """Whole texts as a page; by id, next to a page of Chinese written as glyph numbers shifted by 436, whose SQL is the page itself."""
     glyphs = fulltext.Glyphs(FREQUENCIES)
-    code = {c: int(i) + glyphs.low + 436 for i, c in reversed(list(enumerate(glyphs.chars))) if c in FREQUENCIES}
-    text = "".join(chr(code[c]) for c in "的，是在的水中實驗。與研究的，的水是在。" * 3)
+    number = {chr(x): i + glyphs.first for i, x in reversed(list(enumerate(glyphs.numbers.tolist()))) if x}
+    text = "".join(chr(number[c] + 436) for c in GLYPH_PAGE)
     own, marks = F.coalesce("text", F.lit("")), F.lit("炻烉炻烉炻烉")
     pages = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sid"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(text), own, marks)).otherwise(F.array(own, marks)).alias("pages"))
     return fulltext.repaired(pages, FREQUENCIES, REPAIRS)

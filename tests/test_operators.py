@@ -5,6 +5,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -315,11 +316,59 @@ def test_glyphs_are_found_by_their_shift(spark):
     freq = {"的": 900, "，": 800, "是": 300, "水": 100, "在": 90}
     g = fulltext.Glyphs(freq)
     # the sign with the number 537 is A4A4
-    assert g.at(chr(0x3CD), 436) == "中"
-    code = {c: int(i) + g.low + 436 for i, c in reversed(list(enumerate(g.chars))) if c in freq}
-    page = "".join(chr(code[c]) for c in "的，是水在的，的是" * 4)
-    assert g.page(page) == ("的，是水在的，的是" * 4, True)
-    assert g.page("plain text") == ("plain text", False)
+    assert chr(g.at(np.array([0x3CD]), 436)[0][0]) == "中"
+    number = {chr(x): i + g.first for i, x in reversed(list(enumerate(g.numbers.tolist())))}
+    text = "的，是水在的，的是" * 4
+    page = "".join(chr(number[c] + 436) for c in text)
+    assert g.decoded([page]) == ([text], [True])
+    assert g.decoded(["plain text", "", page, page[:19]]) == (["plain text", "", text, page[:19]], [False, False, True, False])
+    assert g.decoded([]) == ([], [])
+    assert fulltext.Glyphs({}).decoded([page]) == ([page], [False])
+
+
+def test_glyphs_by_brute_force():
+    """Every offset tried one by one, each glyph number looked up by rows of Big5, on pages of mixed shifts, scripts and blanks."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(5)
+    freq = {c: rng.randrange(1, 900) for c in "的，。是在與中實驗水研究一二三人大小ABCabc"}
+    total, g = sum(freq.values()), fulltext.Glyphs(freq)
+
+    def char(n):
+        if n < 63:
+            return chr(n + 193) if 32 <= n + 193 < 127 else ""
+        n = n - 63 if n < 471 else n
+        row, col = divmod(n, 157)
+        try:
+            return bytes((0xA1 + row, 0x40 + col if col < 63 else 0x62 + col)).decode("cp950") if row < 0x59 else ""
+        except UnicodeDecodeError:
+            return ""
+
+    def one(page):
+        body = [c for c in page if ord(c) > 127 and not c.isspace()]
+        if len(body) < 20 or sum(0x100 <= ord(c) < 0x2000 for c in body) < 0.2 * len(body):
+            return page, False
+        top = Counter(body).most_common(40)
+        best = max(range(3000), key=lambda o: (round(sum(n * math.log(freq.get(char(ord(c) - o), 0.5) / total) for c, n in top), 6), -o))
+        if sum(n for c, n in top if char(ord(c) - best) in freq) < 0.6 * sum(n for _, n in top):
+            return page, False
+        return "".join(c if ord(c) < 128 else char(ord(c) - best) or c for c in page), True
+
+    number = {chr(x): i + g.first for i, x in reversed(list(enumerate(g.numbers.tolist()))) if x}
+    pages = []
+    for k in range(24):
+        shift, noise = rng.choice([200, 436, 1500, 2999]), rng.choice([0, 0.2, 0.5])
+        some = rng.choices(list(freq), list(freq.values()), k=rng.choice([15, 30, 80]))
+        pages.append("".join(chr(rng.randrange(0x100, 0x3000)) if rng.random() < noise else chr(number[c] + shift) for c in some) + " x\u3000\xa0\n" * (k % 3) + "𝒳" * (k % 2))
+    texts, done = g.decoded(pages)
+    assert list(zip(texts, done, strict=True)) == [one(p) for p in pages]
+    assert 5 < sum(done) < 24
+
+
+def test_null_pages_and_documents(spark):
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [None, "a"])], "sid long, pages array<string>")
+    assert {r.sid: r.text for r in fulltext.repaired(rows, {"的": 1}, {}).collect()} == {1: "", 2: "", 3: "\na"}
 
 
 def test_snapshots(spark):
