@@ -43,30 +43,3 @@ def legacy_name(s: pd.Series) -> pd.Series:
             return x
 
     return s.map(one, na_action="ignore")
-
-
-def highlighter(terms: list[str], most: int | None = None):  # noqa: ANN201
-    """A UDF that escapes a text and marks the terms in it: hits are found in the second argument, the normalised text."""
-
-    @F.pandas_udf(T.StringType())
-    def mark(text: pd.Series, norm: pd.Series) -> pd.Series:
-        def one(t: str | None, n: str | None) -> str:
-            t, n = t or "", n or ""
-            if most and len(t) > most:
-                t, n = t[:most] + "…", n[:most] + "…"
-            hits = []
-            for term in terms:
-                i = n.find(term)
-                while i >= 0:
-                    hits.append((i, i + len(term)))
-                    i = n.find(term, i + len(term))
-            out, at = [], 0
-            for a, b in sorted(hits, key=lambda h: h[0]):
-                if a >= at:
-                    out += [html.escape(t[at:a]).replace("&#x27;", "&#39;"), "<mark>", html.escape(t[a:b]).replace("&#x27;", "&#39;"), "</mark>"]
-                    at = b
-            return "".join(out) + html.escape(t[at:]).replace("&#x27;", "&#39;")
-
-        return pd.Series([one(t, n) for t, n in zip(text, norm, strict=True)])
-
-    return mark

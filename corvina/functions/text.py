@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,6 +88,64 @@ def html_escape(c: Column) -> Column:
     return c
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with x computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def scanned(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]], block: int = 256) -> Column:
+    """What a pass over an array gives: ``step(state, x)`` is the next state and an array<kind> of what x adds. Results are put together
+    by blocks, so that the cost grows with the array and not with its square."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def add(acc: Column, x: Column) -> Column:
+        after, more = step(acc["s"], x)
+        return F.struct(after.alias("s"), F.concat(acc["out"], more).alias("out"))
+
+    def whole(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["s"].alias("s"), none.alias("out")), add)
+        return let(done, lambda r: F.struct(r["s"].alias("s"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    last = F.greatest(F.lit(0), F.floor((F.size(items) - 1) / block).cast("int"))
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * block + 1, F.lit(block)))
+    return F.aggregate(parts, F.struct(state.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out")), whole, lambda acc: F.flatten(acc["out"]))
+
+
+def places(c: Column, term: str) -> Column:
+    """Where a term stands in a text, from the left without overlaps: the characters in front of each."""
+    quoted = r"\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E"
+    between = lambda p: F.transform(F.slice(p, 1, F.size(p) - 1), F.length)
+    found = lambda sizes: scanned(sizes, F.lit(0), "int", lambda at, n: (at + n + len(term), F.array(at + n)))
+    return let(F.split(c, quoted), lambda p: let(between(p), found))
+
+
+def highlight(c: Column, norm: Column, terms: list[str], most: int | None = None) -> Column:
+    """The text escaped, with marks around terms, which are found in its normalised form: the places of all terms in order (of equal
+    ones that of the earlier term first), each taken if it begins behind the one taken before. Null is an empty text; texts of more than
+    ``most`` characters are cut and end in an ellipsis."""
+    text, norm = F.coalesce(c, F.lit("")), F.coalesce(norm, F.lit(""))
+    if most:
+        cut = lambda x: F.when(F.length(text) > most, F.concat(F.left(x, F.lit(most)), F.lit("…"))).otherwise(x)
+        text, norm = cut(text), cut(norm)
+    hit = "struct<a:int,k:int,b:int>"
+    one = lambda n, k, t: F.transform(places(n, t), lambda a: F.struct(a.alias("a"), F.lit(k).alias("k"), (a + len(t)).alias("b")))
+    none = F.array().cast(f"array<{hit}>")
+    all_ = lambda n: F.array_sort(F.concat(none, *(one(n, k, t) for k, t in enumerate(terms) if t)))
+    free = lambda at, x: (F.when(x["a"] >= at, x["b"]).otherwise(at), F.when(x["a"] >= at, F.array(x)).otherwise(none))
+    taken = let(let(norm, all_), lambda hits: scanned(hits, F.lit(0), hit, free))
+    part = lambda z, a, n: html_escape(F.array_join(F.slice(z["c"], a + 1, n), ""))
+
+    def written(z: Column) -> Column:
+        def marked(x: Column, i: Column) -> Column:
+            at = F.coalesce(F.get(z["hits"], i - 1)["b"], F.lit(0))
+            return F.concat(part(z, at, F.greatest(F.lit(0), x["a"] - at)), F.lit("<mark>"), part(z, x["a"], x["b"] - x["a"]), F.lit("</mark>"))
+
+        end = F.coalesce(F.get(z["hits"], F.size(z["hits"]) - 1)["b"], F.lit(0))
+        return F.concat(F.array_join(F.transform(z["hits"], marked), ""), part(z, end, F.size(z["c"])))
+
+    return let(F.struct(F.split(text, "").alias("c"), taken.alias("hits")), written)
+
+
 def safe_name(c: Column, most: int = 80, illegal: str = r'[\\/:*?"<>|\n\r\t]+') -> Column:
     return F.left(strip(F.regexp_replace(F.coalesce(c, F.lit("")), illegal, "_")), F.lit(most))
 

@@ -182,29 +182,52 @@ def merged_small(groups: DataFrame, existing: DataFrame, least: int = 5) -> Data
     return groups.join(there, "base", "left").select("base", "stage", "n", F.when(small, F.concat(F.lit("其他_"), F.col("stage"))).otherwise(F.col("base")).alias("target"))
 
 
-def incremental(groups: list[tuple[str, list[tuple[int, int]]]], folders: dict[str, list[tuple[int | None, int | None, int]]], limit: int = 300) -> list[tuple[str, int, str]]:
-    """(base, edition, folder) for new files, counted by base and edition, among the folders that there are: for each base a
-    list of (first edition, last edition, files), both editions None for a folder without a range. Tables of some
-    dozens of folders; a plain function. A folder with room takes all that is new; the first ranged one is then widened.
-    Otherwise what is new has folders of its own range, cut by the limit."""
-    plan = []
-    span = lambda base, a, b: f"{base}_第{a}屆" if a == b else f"{base}_第{a}-{b}屆"
-    for base, counts in groups:
-        total, known = sum(n for _, n in counts), folders.get(base, [])
-        low, high = min(e for e, _ in counts), max(e for e, _ in counts)
-        room = next((f for f in known if f[2] + total <= limit), None)
-        if not known and total <= limit or room and room[0] is None:
-            plan += [(base, e, base) for e, _ in counts]
-        elif room:
-            plan += [(base, e, span(base, min(low, room[0]), max(high, room[1]))) for e, _ in counts]
-        else:
-            bins_: list[list[tuple[int, int]]] = []
-            for e, n in sorted(counts):
-                if not bins_ or sum(x for _, x in bins_[-1]) + n > limit:
-                    bins_.append([])
-                bins_[-1].append((e, n))
-            plan += [(base, e, span(base, b[0][0], b[-1][0])) for b in bins_ for e, _ in b]
-    return plan
+RANGE = r"^(.*)_第(\d+)-(\d+)屆$"
+
+
+def incremental(files: DataFrame, existing: DataFrame, limit: int = 300, least: int = 5) -> tuple[DataFrame, DataFrame]:
+    """New files among the folders that there are: (id, folder) of files (id, base, edition), and (folder, renamed) of folders that get
+    another name. existing: (folder, edition, n), the files that each folder has of each edition, an edition null for an empty folder.
+    A base is a subject, '_' and a stage, without '_第'.
+
+    Bases with fewer than ``least`` new files and no folder, plain or ranged, go to the stage's rest. Of a base's ranged folders the one
+    with the least first edition counts: with room for all that is new it is widened to it, otherwise what is new has a range of its own.
+    Without one the plain folder takes what is new if it has room; if not it is renamed to the range it holds. A base without folders has
+    a plain one. A folder that isn't there yet and would be over the limit is cut into ranges; an edition over it stays whole.
+
+    The rules run on one row a base, its editions as an array; files are joined to the outcome by base and edition. Files without a base
+    or an edition have no folder; no files, no rows."""
+    known = files.filter(F.col("base").isNotNull() & F.col("edition").isNotNull())
+    counts = known.groupBy("base", "edition").agg(F.count("*").alias("n"))
+    heads = existing.groupBy("folder").agg(F.sum("n").alias("held"), F.min("edition").alias("low"), F.max("edition").alias("high"))
+    there = heads.select(F.regexp_replace("folder", "_第.*$", "").alias("base")).distinct().withColumn("_e", F.lit(True))
+    small = (F.col("n") < least) & F.col("_e").isNull()
+    rest = F.concat(F.lit("其他_"), F.substring_index("base", "_", -1))
+    names = counts.groupBy("base").agg(F.sum("n").alias("n")).join(there, "base", "left").select("base", F.when(small, rest).otherwise(F.col("base")).alias("_to"))
+
+    by_edition = counts.join(names, "base").groupBy(F.col("_to").alias("base"), F.col("edition").alias("key")).agg(F.sum("n").alias("n"))
+    groups = by_edition.groupBy("base").agg(F.array_sort(F.collect_list(F.struct("key", "n"))).alias("counts"), F.sum("n").alias("total"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    plain = heads.select(F.col("folder").alias("base"), F.struct("held", "low", "high").alias("plain"))
+    number = lambda i: F.regexp_extract("folder", RANGE, i).cast("int")
+    spans = heads.filter(F.col("folder").rlike(RANGE)).select(F.regexp_extract("folder", RANGE, 1).alias("base"), F.struct(number(2).alias("first"), "folder", number(3).alias("last"), "held").alias("range"))
+    ranged = spans.groupBy("base").agg(F.min("range").alias("range"))
+
+    span = lambda a, b: F.concat("base", F.lit("_第"), a.cast("string"), F.lit("-"), b.cast("string"), F.lit("屆"))
+    fits = lambda f: F.col(f)["held"] + F.col("total") <= limit
+    own, widened = span(F.col("lo"), F.col("hi")), span(F.least("range.first", "lo"), F.greatest("range.last", "hi"))
+    in_range, in_plain = F.when(fits("range"), widened).otherwise(own), F.when(fits("plain"), F.col("base")).otherwise(own)
+    folder = F.when(F.col("range").isNotNull(), in_range).when(F.col("plain").isNotNull(), in_plain).otherwise(F.col("base"))
+    plan = groups.join(plain, "base", "left").join(ranged, "base", "left").withColumn("folder", folder)
+
+    before = F.when(F.col("range").isNotNull(), F.when(fits("range"), F.col("range.folder"))).when(~fits("plain"), F.col("base"))
+    after = F.when(F.col("range").isNotNull(), widened).otherwise(span(F.col("plain.low"), F.col("plain.high")))
+    renames = plan.select(before.alias("folder"), after.alias("renamed")).filter("folder <> renamed")
+
+    made = plan.join(heads.select("folder", F.lit(True).alias("_e")), "folder", "left").withColumn("_cut", (F.col("total") > limit) & F.col("_e").isNull())
+    rows = made.select("base", "folder", "_cut", F.inline(bins(F.col("counts"), limit)))
+    one = Window.partitionBy("base", "bin")
+    final = rows.select(F.col("base").alias("_to"), F.col("key").alias("edition"), F.when(F.col("_cut"), span(F.min("key").over(one), F.max("key").over(one))).otherwise(F.col("folder")).alias("folder"))
+    return files.join(names, "base", "left").join(final, ["_to", "edition"], "left").select("id", "folder"), renames
 
 
 def preview(plan: DataFrame) -> tuple[DataFrame, DataFrame]:

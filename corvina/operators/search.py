@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from corvina import rules
 from corvina.functions import records as R
 from corvina.functions import text as T
-from corvina.functions.python import highlighter
 
 PAGE, MORE = 30, 60
 GROUPS = ("src", "stage", "domain", "award")
@@ -204,7 +203,7 @@ def snippet(req: SearchRequest) -> Column:
 
 
 def marked(req: SearchRequest, text: Column, most: int | None = None) -> Column:
-    return highlighter(req.terms, most)(text, T.search_norm(text))
+    return T.highlight(text, T.search_norm(text), req.terms, most)
 
 
 def meta_line() -> Column:

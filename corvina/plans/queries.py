@@ -595,7 +595,8 @@ def section_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.average_chars(fulltext.report(fulltext.extracted(papers(works(spark, sf_dir)))))
 
 
-@query()
+@query(f"""with {S.WORKS}, e as (select id, replace(replace(replace(replace(replace(abstract, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') as t from works)
+select id, md5(regexp_replace(t, '(the|and)', '<mark>\\1</mark>', 'gi')) as marked from e""")
 def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.serving(works(spark, sf_dir)).select("id", F.md5(search.marked(RANKED, F.col("abstract"), None)).alias("marked"))
 
@@ -742,6 +743,39 @@ def strict_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.strictly_matched(names, coded).select("want", "work")
 
 
+FOLDER = 40
+PLAN = f"""with recursive {S.WORKS}, {S.CASCADE}, f as (select id, coalesce(domain, '其他') || '_' || stage as base, stage, edition_no as e, stage in ('國小', '國中') and id % 7 < 3 as old from works join final using (id) where src = '全國' and stage is not null),
+h as (select base || case when stage = '國小' then '' when e <= 40 then '_第15-40屆' else '_第41-65屆' end as folder, base, case when stage = '國小' then null when e <= 40 then 15 else 41 end as a, case when stage = '國小' then null when e <= 40 then 40 else 65 end as b, count(*) as held, min(e) as low, max(e) as high from f where old group by all),
+nm as (select base, case when count(*) < 5 and base not in (select base from h) then '其他_' || split_part(base, '_', 2) else base end as t from f where not old group by base),
+c as (select t as base, e, count(*) as n, row_number() over (partition by t order by e) as k from f join nm using (base) where not old group by t, e),
+g as (select base, sum(n) as total, min(e) as lo, max(e) as hi from c group by base),
+r as (select * from h where a is not null qualify row_number() over (partition by base order by a) = 1), p as (select * from h where a is null),
+x as (select g.*, r.folder as was, case when r.base is not null then case when r.held + total <= {FOLDER} then 'wide' else 'own' end when p.base is null then 'plain' when p.held + total <= {FOLDER} then 'plain' else 'aside' end as how,
+  g.base || '_第' || lo || '-' || hi || '屆' as own, g.base || '_第' || least(r.a, lo) || '-' || greatest(r.b, hi) || '屆' as wide, g.base || '_第' || p.low || '-' || p.high || '屆' as away from g left join (select base, folder, held, a, b from r) r on g.base = r.base left join p on g.base = p.base),
+t as (select *, case how when 'wide' then wide when 'plain' then base else own end as target from x), y as (select *, total > {FOLDER} and target not in (select folder from h) as cut from t),
+w as (select base, e, n, k, 0 as bin, n as fill from c where k = 1 union all select c.base, c.e, c.n, c.k, case when w.fill + c.n > {FOLDER} then w.bin + 1 else w.bin end, case when w.fill + c.n > {FOLDER} then c.n else w.fill + c.n end from w join c on c.base = w.base and c.k = w.k + 1),
+z as (select w.base, e, case when cut then w.base || '_第' || min(e) over i || '-' || max(e) over i || '屆' else target end as folder from w join y using (base) window i as (partition by w.base, bin))"""
+
+
+def new_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """New national files, and folders with those that are there: of primary schools plain ones, of junior high schools two ranges."""
+    base = F.concat(R.folder_base(F.col("domains")), F.lit("_"), F.col("stage"))
+    rows = full(spark, sf_dir).filter((F.col("src") == rules.NATIONAL) & F.col("stage").isNotNull()).select("id", base.alias("base"), F.col("edition_no").alias("edition"), "stage")
+    old = F.col("stage").isin("國小", "國中") & (F.col("id") % 7 < 3)
+    part = F.when(F.col("stage") == "國小", "").when(F.col("edition") <= 40, "_第15-40屆").otherwise("_第41-65屆")
+    return rows.filter(~old).select("id", "base", "edition"), rows.filter(old).groupBy(F.concat("base", part).alias("folder"), "edition").agg(F.count("*").alias("n"))
+
+
+@query(f"{PLAN} select id, folder from f join nm using (base) join z on z.base = nm.t and z.e = f.e where not old")
+def incremental_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.incremental(*new_files(spark, sf_dir), FOLDER)[0]
+
+
+@query(f"{PLAN} select case how when 'wide' then was else base end as folder, case how when 'wide' then wide else away end as renamed from t where how = 'aside' or how = 'wide' and was <> wide")
+def folder_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.incremental(*new_files(spark, sf_dir), FOLDER)[1]
+
+
 @query(f"with {S.WORKS} select id, edition_no from works where edition_no in (20, 21, 40)")
 def edition_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.of_editions(works(spark, sf_dir), (20, 21, 40)).select("id", "edition_no")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corvina.functions import text
 from corvina.operators import curate, export, fulltext, match, packing, search, similar, snapshots
 from corvina.sources import readers, sinks
 from corvina.streaming import ingest
@@ -79,6 +80,39 @@ def test_snippet_and_highlight(spark):
     assert docs.orderBy("id").select(search.marked(req, F.col("abstract")).alias("m")).collect()[1].m == "<mark>needle</mark> &lt;x&gt;"
 
 
+def test_highlight_by_brute_force(spark):
+    """Terms that overlap each other and themselves, more hits than a block has, characters to escape and beyond the plane."""
+    import html
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aab<&𝒳'B ", k=rng.choice([0, 3, 40, 2500]))) for _ in range(40)] + [None, "", "a" * 1500, "A\n\\a"]
+    terms = ["aa", "ab", "a<", "baa", "\\"]
+
+    def one(t, most):
+        t = t or ""
+        n = t.lower()
+        if most and len(t) > most:
+            t, n = t[:most] + "…", n[:most] + "…"
+        hits = []
+        for k, term in enumerate(terms):
+            at = n.find(term)
+            while at >= 0:
+                hits.append((at, k))
+                at = n.find(term, at + len(term))
+        out, end = "", 0
+        for at, k in sorted(hits):
+            if at >= end:
+                out += html.escape(t[end:at]) + "<mark>" + html.escape(t[at : at + len(terms[k])]) + "</mark>"
+                end = at + len(terms[k])
+        return (out + html.escape(t[end:])).replace("&#x27;", "&#39;")
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for most in (None, 30):
+        out = {r.id: r.m for r in rows.select("id", text.highlight(F.col("t"), F.lower("t"), terms, most).alias("m")).collect()}
+        assert out == {i: one(t, most) for i, t in enumerate(texts)}
+    assert [r.m for r in rows.filter("id = 43").select(text.highlight(F.col("t"), F.lower("t"), []).alias("m")).collect()] == ["A\n\\a"]
+
+
 @pytest.mark.parametrize(("block", "rows", "meetings"), [(2048, 512, 1 << 22), (7, 3, 20), (1, 1, 1)])
 def test_neighbours_by_brute_force(spark, monkeypatch, block, rows, meetings):
     monkeypatch.setattr(similar, "ROWS", rows)
@@ -154,9 +188,83 @@ def test_byte_chunks(spark):
     assert out == want
 
 
-def test_incremental_folders():
-    plan = packing.incremental([("a", [(56, 10), (57, 20)]), ("b", [(56, 200), (57, 150)]), ("c", [(60, 5)])], {"a": [(54, 55, 250)], "c": [(None, None, 290)]})
-    assert plan == [("a", 56, "a_第54-57屆"), ("a", 57, "a_第54-57屆"), ("b", 56, "b_第56屆"), ("b", 57, "b_第57屆"), ("c", 60, "c")]
+def planned(spark, groups, folders, limit=300, least=5):
+    files = spark.createDataFrame([(f"{b}/{e}/{i}", b, e) for b, c in groups.items() for e, n in c.items() for i in range(n)], "id string, base string, edition int")
+    there = spark.createDataFrame([(f, e, n) for f, c in folders.items() for e, n in c.items()], "folder string, edition int, n long")
+    plan, renames = packing.incremental(files, there, limit, least)
+    out = {}
+    for r in plan.collect():
+        out.setdefault(tuple(r.id.split("/")[:2]), set()).add(r.folder)
+    return {(b, int(e)): f.pop() for (b, e), f in out.items() if len(f) == 1}, {tuple(r) for r in renames.collect()}
+
+
+def test_incremental_folders(spark):
+    groups = {"a_x": {56: 10, 57: 20}, "b_x": {56: 200, 57: 150}, "c_x": {60: 5}, "d_x": {60: 20}, "e_x": {58: 3}, "f_x": {58: 4}, "g_y": {55: 6, 58: 299, 59: 350, 60: 1}, "h_x": {61: 50}}
+    folders = {"a_x_第54-55屆": {54: 250}, "a_x_第40-53屆": {41: 200, 53: 30}, "c_x": {50: 290}, "d_x": {50: 200, 52: 90}, "f_x_第20屆": {20: 1}, "g_y_第58-60屆": {58: 298, 60: 2}, "h_x_第50-60屆": {50: 290}}
+    plan, renames = planned(spark, groups, folders)
+    assert plan == {
+        ("a_x", 56): "a_x_第40-57屆", ("a_x", 57): "a_x_第40-57屆",
+        ("b_x", 56): "b_x_第56-56屆", ("b_x", 57): "b_x_第57-57屆",
+        ("c_x", 60): "c_x",
+        ("d_x", 60): "d_x_第60-60屆",
+        ("e_x", 58): "其他_x", ("f_x", 58): "f_x",
+        ("g_y", 55): "g_y_第55-55屆", ("g_y", 58): "g_y_第58-58屆", ("g_y", 59): "g_y_第59-59屆", ("g_y", 60): "g_y_第60-60屆",
+        ("h_x", 61): "h_x_第61-61屆",
+    }
+    assert renames == {("a_x_第40-53屆", "a_x_第40-57屆"), ("d_x", "d_x_第50-52屆")}
+
+
+def test_incremental_folders_without_rows(spark):
+    assert planned(spark, {}, {}) == ({}, set())
+    assert planned(spark, {}, {"a_x": {1: 400}}) == ({}, set())
+    files = spark.createDataFrame([(1, None, 5), (2, "a_x", None), (3, "a_x", 5)], "id long, base string, edition int")
+    there = spark.createDataFrame([("a_x", None, 0)], "folder string, edition int, n long")
+    plan, renames = packing.incremental(files, there)
+    assert {r.id: r.folder for r in plan.collect()} == {1: None, 2: None, 3: "a_x"} and renames.count() == 0
+
+
+def test_incremental_folders_by_the_rule(spark):
+    """Random groups and folders against the rule taken base by base."""
+    import re
+
+    rng = random.Random(11)
+    for _ in range(3):
+        bases = [f"s{i}_{'xyz'[i % 3]}" for i in range(24)]
+        groups = {b: {e: rng.randrange(1, 12) for e in rng.sample(range(50, 70), rng.randrange(1, 6))} for b in bases}
+        folders = {}
+        for b in [*bases, "其他_x"]:
+            if rng.random() < 0.3:
+                folders[b] = {e: rng.randrange(1, 12) for e in rng.sample(range(40, 60), 2)}
+            for lo in rng.sample(range(40, 60), rng.choice([0, 0, 1, 2])):
+                folders[f"{b}_第{lo}-{lo + 5}屆"] = {lo: rng.randrange(1, 20)}
+        items = {b: dict(c) for b, c in groups.items()}
+        merged = {}
+        for b, c in items.items():
+            small = sum(c.values()) < 5 and not any(f == b or f.startswith(b + "_第") for f in folders)
+            for e, n in c.items():
+                merged.setdefault("其他_" + b[-1] if small else b, {}).setdefault(e, []).append((b, n))
+        want, renames = {}, set()
+        for b, c in merged.items():
+            total, lo, hi = sum(n for x in c.values() for _, n in x), min(c), max(c)
+            ranged = sorted((int(m[1]), int(m[2]), f) for f in folders if (m := re.fullmatch(re.escape(b) + r"_第(\d+)-(\d+)屆", f)))
+            target = f"{b}_第{lo}-{hi}屆"
+            if ranged and sum(folders[ranged[0][2]].values()) + total <= 30:
+                target = f"{b}_第{min(ranged[0][0], lo)}-{max(ranged[0][1], hi)}屆"
+                renames |= {(ranged[0][2], target)} - {(target, target)}
+            elif not ranged and b in folders and sum(folders[b].values()) + total > 30:
+                renames.add((b, f"{b}_第{min(folders[b])}-{max(folders[b])}屆"))
+            elif not ranged:
+                target = b
+            parts = [[]]
+            for e in sorted(c):
+                if parts[-1] and sum(n for x in parts[-1] for _, n in c[x]) + sum(n for _, n in c[e]) > 30:
+                    parts.append([])
+                parts[-1].append(e)
+            for p in parts:
+                for e in p:
+                    for own, _ in c[e]:
+                        want[own, e] = f"{b}_第{p[0]}-{p[-1]}屆" if total > 30 and target not in folders else target
+        assert planned(spark, groups, folders, 30) == (want, renames)
 
 
 def test_matching(spark):
