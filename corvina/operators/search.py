@@ -7,8 +7,9 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import and_, or_
 from urllib.parse import parse_qs, urlencode
+from zlib import crc32
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina import rules
@@ -94,6 +95,47 @@ def scored(docs: DataFrame, req: SearchRequest) -> DataFrame:
     return some.withColumns({"score": reduce(lambda a, b: a + b, map(F.col, hits)) + whole, "core": core}).drop(*hits)
 
 
+# ---- posting lists -------------------------------------------------------------------------------------------------
+
+#: Ids of one row of a posting list lie within a span; folders of the index, by a hash of the gram.
+SPAN, BUCKETS = 1 << 16, 64
+
+
+def term_grams(terms: list[str]) -> list[str]:
+    """The pairs of neighbouring characters that a document with all terms has; of a term of one character that one."""
+    return sorted({g for t in terms for g in ([t[i : i + 2] for i in range(len(t) - 1)] or [t])})
+
+
+def write_grams(docs: DataFrame, path: str) -> None:
+    """The index of serving documents: (bucket, gram, block, ids), gram a character or a pair of neighbours, ids in order, at most a span of
+    them in a row however frequent the gram. A folder for each bucket, rows in order of gram, so that a search reads few row groups."""
+    chars = F.split(F.concat_ws("\n", "_t", "_k", "_o", "_a"), "")
+    pairs = F.zip_with("_c", F.slice("_c", 2, F.greatest(F.size("_c"), F.lit(1))), lambda a, b: F.concat(a, b))
+    grams = docs.filter("id is not null").select(F.col("id").cast("long").alias("id"), chars.alias("_c")).select("id", F.explode(F.array_distinct(F.concat("_c", F.filter(pairs, lambda x: x.isNotNull())))).alias("gram"))
+    rows = grams.groupBy("gram", F.floor(F.col("id") / SPAN).alias("block")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    placed = rows.withColumn("bucket", (F.crc32(F.encode("gram", "UTF-8")) % BUCKETS).cast("int"))
+    placed.repartitionByRange("bucket", "gram", "block").sortWithinPartitions("bucket", "gram", "block").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def posted(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """(id) of the documents that have all grams of the terms: those with all terms are among them. Lists are intersected within
+    blocks, so what is gathered is a row for each gram."""
+    grams = term_grams(terms)
+    buckets = sorted({crc32(g.encode()) % BUCKETS for g in grams})
+    rows = spark.read.parquet(path).filter(F.col("bucket").isin(buckets) & F.col("gram").isin(grams))
+    lists = rows.groupBy("block").agg(F.collect_list("ids").alias("l")).filter(F.size("l") == len(grams))
+    return lists.select(F.explode(F.aggregate(F.slice("l", 2, len(grams)), F.get("l", F.lit(0)), lambda a, b: F.array_intersect(a, b))).alias("id"))
+
+
+def narrowed(docs: DataFrame, path: str, req: SearchRequest) -> DataFrame:
+    """The serving documents that a request with terms can find, by the index of all of them; without terms all documents. Searches and
+    facets give the same rows over these."""
+    return docs.join(posted(docs.sparkSession, path, req.terms), "id", "left_semi") if req.terms else docs
+
+
+# ---- filters and order ---------------------------------------------------------------------------------------------
+
+
 def stage_label() -> Column:
     return F.coalesce("stage", F.lit("未標示"))
 

@@ -15,7 +15,8 @@ from corvina.functions import text as T
 from corvina.operators import curate, export, fulltext, match, packing, search, similar, snapshots
 from corvina.plans import adapters as A
 from corvina.plans import sql as S
-from corvina.sources import readers, sinks
+from corvina.sources import archives, readers, sinks
+from corvina.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -634,6 +635,33 @@ def crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.raw_records(spark, f"{path}/*").select("sid", F.col("作品名稱").alias("title"), F.md5("摘要或動機").alias("text_md5"), F.size("檔案連結").alias("files"))
 
 
+@query(f"with {S.RAW}, u as (select sid, case when t <> '' then t else 'old ' end as title, text, pdf from raw where t <> '' or sid % 4 = 1) select sid, title, md5(text) as text_md5, case when pdf is null then 0 else 1 end as files from u")
+def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of crawl_log as a stream that is stopped once: the earlier lines, then all, four files an epoch."""
+    rows, path = A.raw(spark, sf_dir), folder(spark)
+    early = rows.filter("sid % 4 = 1").withColumn("作品名稱", F.concat(F.lit("old "), "作品名稱"))
+    for lines in (early, rows):
+        lines.write.mode("append").option("ignoreNullFields", True).json(f"{path}/in")
+        ingest.start(spark, f"{path}/in", f"{path}/out", f"{path}/offsets", fan=2, files=4).awaitTermination()
+    return ingest.records(spark, f"{path}/out").select("sid", F.col("作品名稱").alias("title"), F.md5("摘要或動機").alias("text_md5"), F.size("檔案連結").alias("files"))
+
+
+@query("select doc_id, strlen(coalesce(text, ''))::bigint as n_bytes, sha256(coalesce(text, '')) as content_sha256 from documents")
+def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written to zip archives, an entry each, and read back by entry."""
+    rows = A.table(spark, sf_dir, "documents").select(F.concat(F.lit("texts/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("content"))
+    found = archives.entries(archives.write(rows, folder(spark)))
+    return found.select(F.regexp_extract("name", r"(-?\d+)\.txt$", 1).cast("long").alias("doc_id"), F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("content_sha256"))
+
+
+@query(SQL["search_rank"])
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of search_rank by posting lists."""
+    docs, path = search.serving(works(spark, sf_dir)), folder(spark)
+    search.write_grams(docs, path)
+    return search.search(search.narrowed(docs, path, RANKED), RANKED).select("id", "score", "year", "core")
+
+
 @query(f"with {S.WORKS}, {S.CODES} select '第' || (14 + id % 52) || '屆' as edition, code, {S.pick(A.OFFICIAL, 'id')} as award from codes where id % 5 = 2 and id % 2 = 0")
 def official_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, path = A.official(spark, sf_dir), folder(spark)

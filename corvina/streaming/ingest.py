@@ -1,9 +1,15 @@
-"""The crawl log as a stream: each micro-batch is merged into the records kept, the last line of a sid counts."""
+"""The crawl log as a stream: the last line of a sid counts, by epoch, then by file and place in it.
+
+Each epoch writes a run: the last lines of the sids that its batch has, and no others. Every ``fan`` runs of one length are merged to a
+longer one, so a line is written once for each power of ``fan`` up to the number of epochs, however large the table is. A run is named
+by the epochs it spans and complete when it has its mark of success, so an epoch that is given again, or a merge that was broken
+off, is written anew and changes nothing."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,37 +17,95 @@ from pyspark.sql.streaming import StreamingQuery
 from corvina import schemas
 from corvina.sources.readers import last_wins
 
-
-def merged(kept: DataFrame | None, batch: DataFrame, epoch: int) -> DataFrame:
-    """Titled rows of a batch replace those of earlier batches. Rows carry the epoch they came with, so that a batch that is
-    given again changes nothing."""
-    new = batch.filter(F.coalesce("作品名稱", F.lit("")) != "").withColumns({"_epoch": F.lit(epoch).cast("long"), "_at": F.monotonically_increasing_id()})
-    both = new if kept is None else kept.unionByName(new)
-    return last_wins(both, ["sid"], "_epoch", "_at")
+FAN = 8
+ORDER = ("_epoch", "_file", "_block", "_line")
 
 
-def start(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Reads what is there and ends. The records are written as one table for each epoch; the newest is complete."""
+def batch_run(lines: DataFrame, epoch: int) -> DataFrame:
+    """The last titled line of each sid in a batch (value, _file, _block), with its place. Lines that aren't JSON have no title."""
+    rows = lines.withColumns({"_line": F.monotonically_increasing_id(), "r": F.from_json("value", schemas.RAW)})
+    rows = rows.select("r.*", F.lit(epoch).cast("long").alias("_epoch"), "_file", "_block", "_line")
+    return last_wins(rows.filter(F.coalesce("作品名稱", F.lit("")) != ""), ["sid"], *ORDER)
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        last = latest(spark, target, epoch)
-        merged(spark.read.parquet(last) if last else None, batch, epoch).write.mode("overwrite").parquet(f"{target}/epoch={epoch:09d}")
 
-    stream = spark.readStream.schema(schemas.RAW).json(source)
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def store_of(spark: SparkSession, target: str) -> tuple[JavaObject, JavaObject]:
+    """The file system of a folder, and its path there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def latest(spark: SparkSession, target: str, before: int | None = None) -> str | None:
-    """The folder of the last complete epoch (before one)."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    store = path.getFileSystem(conf)
+def complete(spark: SparkSession, target: str) -> list[tuple[int, int]]:
+    """(first, last) epochs of the complete runs, the longest of those that begin together first."""
+    store, path = store_of(spark, target)
     if not store.exists(path):
+        return []
+    there = [s.getPath() for s in store.listStatus(path)]
+    spans = [re.fullmatch(r"run=(\d+)-(\d+)", p.getName()) for p in there if store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(((int(m[1]), int(m[2])) for m in spans if m), key=lambda x: (x[0], -x[1]))
+
+
+def current(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs that together hold all epochs, each once."""
+    out: list[tuple[int, int]] = []
+    for first, last in spans:
+        if not out or first > out[-1][1]:
+            out.append((first, last))
+    return out
+
+
+def place(target: str, span: tuple[int, int]) -> str:
+    return f"{target}/run={span[0]:09d}-{span[1]:09d}"
+
+
+def merged(spark: SparkSession, target: str, spans: list[tuple[int, int]]) -> tuple[int, int]:
+    """Several runs in a row written as one."""
+    whole = spans[0][0], spans[-1][1]
+    rows = spark.read.parquet(*(place(target, s) for s in spans))
+    last_wins(rows, ["sid"], *ORDER).write.mode("overwrite").parquet(place(target, whole))
+    return whole
+
+
+def add(spark: SparkSession, lines: DataFrame, epoch: int, target: str, fan: int = FAN) -> None:
+    """One epoch, and the merges that are due with it."""
+    batch_run(lines, epoch).write.mode("overwrite").parquet(place(target, (epoch, epoch)))
+    length = fan
+    while (epoch + 1) % length == 0:
+        due = [s for s in current(complete(spark, target)) if epoch + 1 - length <= s[0] and s[1] <= epoch]
+        if len(due) > 1:
+            merged(spark, target, due)
+        length *= fan
+
+
+def start(spark: SparkSession, source: str, target: str, checkpoint: str, fan: int = FAN, files: int | None = None) -> StreamingQuery:
+    """Reads what is there, at most ``files`` files an epoch, and ends."""
+    stream = spark.readStream.option("maxFilesPerTrigger", files) if files else spark.readStream
+    lines = stream.text(source).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    write = lambda batch, epoch: add(spark, batch, epoch, target, fan)
+    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def records(spark: SparkSession, target: str) -> DataFrame:
+    """The last record of each sid over all epochs; no rows before the first."""
+    runs = current(complete(spark, target))
+    if not runs:
+        return spark.createDataFrame([], schemas.RAW)
+    return last_wins(spark.read.parquet(*(place(target, s) for s in runs)), ["sid"], *ORDER).select(*schemas.RAW.names)
+
+
+def latest(spark: SparkSession, target: str) -> str | None:
+    """The folder of one run over all epochs, which is written if there are several; none before the first epoch."""
+    runs = current(complete(spark, target))
+    if not runs:
         return None
-    done = [s.getPath() for s in store.listStatus(path) if store.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    names = sorted(p.getName() for p in done if p.getName().startswith("epoch="))
-    names = [n for n in names if before is None or int(n.removeprefix("epoch=")) < before]
-    return f"{target}/{names[-1]}" if names else None
+    return place(target, runs[0] if len(runs) == 1 else merged(spark, target, runs))
 
 
-Writer = Callable[[DataFrame, int], None]
+def cleared(spark: SparkSession, target: str) -> list[str]:
+    """Deletes the runs that a longer one holds, and says which. For times when nothing reads them."""
+    spans = complete(spark, target)
+    kept = set(current(spans))
+    store, _ = store_of(spark, target)
+    gone = [place(target, s) for s in spans if s not in kept]
+    for folder in gone:
+        store.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder), True)
+    return gone

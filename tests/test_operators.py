@@ -538,6 +538,83 @@ def test_stream_keeps_the_last_record(spark, tmp_path):
     assert {r.sid: r["作品名稱"] for r in kept.collect()} == {1: "c", 2: "b"}
 
 
+def test_stream_writes_what_changed(spark, tmp_path):
+    """Each epoch writes its own sids; merges by fours; epochs that are given again and broken merges change nothing."""
+    src, out, want = tmp_path / "in", str(tmp_path / "out"), {}
+    src.mkdir()
+    assert ingest.records(spark, out).count() == 0 and ingest.latest(spark, out) is None
+    for epoch in range(9):
+        lines = [(i, f"{epoch}-{i}") for i in range(epoch * 10, epoch * 10 + 15)] + [(7, f"again {epoch}")]
+        (src / f"{epoch}.json").write_text("".join(f'{{"sid":{i},"作品名稱":"{t}"}}\n' for i, t in lines) + 'no json\n{"sid":7}\n', encoding="utf-8")
+        want |= dict(lines)
+        ingest.start(spark, str(src), out, str(tmp_path / "offsets"), fan=4).awaitTermination()
+        assert spark.read.parquet(ingest.place(out, (epoch, epoch))).count() == len({i for i, _ in lines})
+    found = lambda: {r.sid: r["作品名稱"] for r in ingest.records(spark, out).collect()}
+    assert ingest.current(ingest.complete(spark, out)) == [(0, 3), (4, 7), (8, 8)] and found() == want
+    again = spark.read.text(str(src / "3.json")).select("value", F.lit("x").alias("_file"), F.lit(0).cast("long").alias("_block"))
+    ingest.add(spark, again, 3, out, fan=4)
+    (tmp_path / "out" / "run=000000004-000000007" / "_SUCCESS").unlink()
+    assert found() == want and len(ingest.current(ingest.complete(spark, out))) == 6
+    whole = spark.read.parquet(ingest.latest(spark, out))
+    assert {r.sid: r["作品名稱"] for r in whole.collect()} == want
+    assert len(ingest.cleared(spark, out)) == 10 and found() == want
+
+
+def test_archives_by_entry(spark, tmp_path):
+    """Against the library: damaged and encrypted entries, other methods, names, empty and equal ones, archives that aren't."""
+    import zipfile
+
+    from corvina.sources import archives
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("d/", b"")
+        z.writestr("中.txt", "文" * 5000, zipfile.ZIP_DEFLATED)
+        z.writestr("stored", b"abc")
+        z.writestr("empty", b"", zipfile.ZIP_DEFLATED)
+        z.writestr("bad", b"q" * 50)
+        z.writestr("other", b"x" * 100, zipfile.ZIP_BZIP2)
+        z.writestr("large", b"y" * 70_000, zipfile.ZIP_DEFLATED)
+    data = (tmp_path / "a.zip").read_bytes()
+    (tmp_path / "a.zip").write_bytes(b"before" + data.replace(b"q" * 50, b"q" * 49 + b"r"))  # zip files may have other bytes before them
+    (tmp_path / "no.zip").write_bytes(b"no archive")
+    paths = spark.createDataFrame([(str(tmp_path / n), 1) for n in ("a.zip", "no.zip", "absent.zip")] + [(None, 2)], "path string, content int")
+    found = {(r.path.rsplit("/", 1)[1], r.name): r for r in archives.entries(paths, largest=60_000).collect()}
+    right = {n: bytes(r.content) for (_, n), r in found.items() if r.error is None}
+    assert right == {"中.txt": ("文" * 5000).encode(), "stored": b"abc", "empty": b""}
+    assert {n for (_, n), r in found.items() if r.error} == {"bad", "other", "large", None}
+    assert ("no.zip", None) in found and ("absent.zip", None) in found
+    assert archives.entries(paths.limit(0)).count() == 0
+
+
+def test_archives_written(spark, tmp_path):
+    from corvina.sources import archives
+
+    rows = spark.range(0, 300, 1, 3).selectExpr("concat('n', id) as name", "cast(if(id = 5, null, repeat('x', cast(id as int))) as binary) as content")
+    rows = rows.unionByName(spark.createDataFrame([(None, bytearray(b"x")), ("n1", bytearray(b"second"))], "name string, content binary"))
+    made = archives.write(rows, str(tmp_path / "z"), limit=5000)
+    assert made.agg(F.sum("entries")).first()[0] == 301 and made.count() > 9
+    assert sorted(p.name for p in (tmp_path / "z").iterdir()) == sorted(r.path.rsplit("/", 1)[1] for r in made.collect())
+    back = sorted((r.name, bytes(r.content)) for r in archives.entries(made).collect())
+    assert back == sorted([(f"n{i}", b"x" * i * (i != 5)) for i in range(300)] + [("n1", b"second")])
+
+
+def test_posting_lists(spark, tmp_path, monkeypatch):
+    """The same rows as a scan, for terms of one character, beyond the first plane, in several fields and in none; few files are read."""
+    words = ["solar", "cell", "電池", "太陽", "𠀀池", "a", "ab", "臺"]
+    docs = works(spark, [dict(title=" ".join(words[i % 8 :: 3]) or None, keywords=[words[i % 5]], abstract=None if i % 7 == 0 else words[(i * 3) % 8] * (i % 4) + " " + words[i % 8], school=words[(i + 1) % 8], teachers=[]) for i in range(60)])
+    monkeypatch.setattr(search, "SPAN", 16)
+    served, path = search.serving(docs), str(tmp_path / "grams")
+    search.write_grams(served, path)
+    for q in ["solar", "solar cell", "池", "𠀀", "𠀀池 a", "a a", "太陽電池", "台", "zz", "", "sola rcell"]:
+        for scope in (False, True):
+            req = search.SearchRequest(q=q, scope=scope, shown=100)
+            got = search.search(search.narrowed(served, path, req), req).select("id", "score", "core").collect()
+            assert got == search.search(served, req).select("id", "score", "core").collect(), q
+    assert search.posted(spark, path, ["cell"]).count() < 60
+    plan = search.posted(spark, path, ["cell"])._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_statistics_order(spark):
     w = works(spark, [dict(src="國際", edition="2000", year=2000), dict(edition="b", year=1999), dict(edition="a", year=1990), dict(edition="a", year=1990, type="評語")])
     out = [tuple(r) for r in export.statistics(w, F.lit(True), F.lit(False)).collect()]
