@@ -7,8 +7,11 @@ any window is looked at. For the others every window within the bounds that begi
 
 Words are runs of letters and digits of the lower-cased text, so case, punctuation and line breaks don't matter. A text gets
 the licence with the largest coefficient of at least ``threshold``; ties go to the longer template, then to the first in
-alphabetical order. Null and empty texts have none. Long texts are read whole. Rows that repeat get one result each.
-Tasks keep nothing between texts; the templates (a fixed list, or the caller's) are sent to them.
+alphabetical order. Null and empty texts have none. Long texts are read whole. Rows that repeat get one result each. An empty table
+gives no rows; other columns are left out, whatever their names. Tasks keep nothing between texts; the templates (a fixed list, or the
+caller's) are sent to them as sorted bigrams, about 3 MB for the list here.
+
+Whole texts: Apache 2.0, GPL 2 and 3, LGPL 2.1 and 3, MPL 2.0, GFDL 1.3 and CC0 1.0; AGPL and the other CC licences by their notices only.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from importlib import resources
 from itertools import repeat
 
 import numpy as np
@@ -57,6 +61,12 @@ TEMPLATES = (
 )
 
 
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """The whole licences, word for word, from the folder beside this module; read by the driver only."""
+    folder = resources.files("corvina.llm") / "licences"
+    return tuple((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted(folder.iterdir(), key=lambda f: f.name))
+
+
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -72,10 +82,11 @@ class Templates:
         self.base = len(self.number) + 1
         self.grams = [np.array([self.number[a] * self.base + self.number[b] for a, b in zip(t, t[1:], strict=False)]) for t in texts]
         self.counts = [Counter(g.tolist()) for g in self.grams]
-        self.member = np.zeros((len(texts), self.base**2), bool)
-        for row, g in zip(self.member, self.grams, strict=True):
-            row[g] = True
-        self.some = self.member.any(0)
+        # the bigrams in order, and for each the templates that have it: the size is that of the templates' texts
+        pairs = np.unique(np.concatenate([np.stack([g, np.full(len(g), k)], 1) for k, g in enumerate(self.grams)]), axis=0)
+        self.gram, self.first = np.unique(pairs[:, 0], return_index=True)
+        self.first, self.holder = np.append(self.first, len(pairs)), pairs[:, 1]
+        self.fewest = np.array([threshold / (2 - threshold) * len(g) - 1e-9 for g in self.grams])
 
     def find(self, text: str | None) -> list[tuple[float, int, int, int]]:
         """(coefficient, template, first word, words) for each template that a text holds; the best first."""
@@ -84,13 +95,19 @@ class Templates:
         w = words(text)
         ids = np.fromiter(map(self.number.get, w, repeat(0)), np.int64, len(w))
         code = np.where((ids[1:] > 0) & (ids[:-1] > 0), ids[:-1] * self.base + ids[1:], 0)
-        hits = np.flatnonzero(self.some[code])
+        slot = np.searchsorted(self.gram, code)
+        slot[slot == len(self.gram)] = 0
+        hits = np.flatnonzero(self.gram[slot] == code)
         if not len(hits):
             return []
         found, t = [], self.threshold
-        own = self.member[:, code[hits]]
-        for k in np.flatnonzero(own.sum(1) >= [t / (2 - t) * len(g) - 1e-9 for g in self.grams]):
-            n, at = len(self.grams[k]), hits[own[k]]
+        # a row for each hit and template that has its bigram, in order of place
+        slot = slot[hits]
+        many = self.first[slot + 1] - self.first[slot]
+        holder = self.holder[np.repeat(self.first[slot] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        place = np.repeat(hits, many)
+        for k in np.flatnonzero(np.bincount(holder, minlength=len(self.grams)) >= self.fewest):
+            n, at = len(self.grams[k]), place[holder == k]
             # a hit counts in a window that starts behind the hit that is as many of its bigram back as the template has
             last: dict[int, list[int]] = {}
             back = np.full(len(at), -1)
@@ -117,9 +134,10 @@ class Templates:
         return sorted(found, key=lambda x: (-x[0], -len(self.grams[x[1]]), self.names[x[1]], x[2]))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] | None = None, threshold: float = 0.8) -> DataFrame:
     """(doc_id, license, dice, first_word, n_words, licenses) for each row of docs; licenses: all found, in order of name.
-    No shuffle."""
+    Templates are the notices and whole texts here unless others are given. No shuffle."""
+    templates = TEMPLATES + full_texts() if templates is None else templates
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is over 0 and at most 1")
     sent = docs.sparkSession.sparkContext.broadcast(Templates(templates, threshold))

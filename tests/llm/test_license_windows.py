@@ -58,3 +58,30 @@ def test_by_brute_force():
         some += true is not None
         assert found((("T", " ".join(template)),), " ".join(text), t).get(0) == (None if true is None else pytest.approx(true))
     assert some > 100
+
+
+def test_whole_texts_are_found(spark):
+    """Each licence by itself, among other words with some of its words changed, and two in one document."""
+    full = dict(license_scan.full_texts())
+    assert set(full) == {"Apache-2.0", "CC0-1.0", "GFDL-1.3", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"}
+    rng, rows, names = random.Random(3), [], sorted(full)
+    for i, n in enumerate(names):
+        own = full[n].split()
+        for at in rng.sample(range(len(own)), len(own) // 30):
+            own[at] = "changed"
+        rows += [(2 * i, full[n]), (2 * i + 1, "some words before " * 40 + " ".join(own) + " and behind" * 300)]
+    rows += [(100, full["MPL-2.0"] + "\n" + full["Apache-2.0"]), (101, full["GPL-3.0"][:15_000]), (102, None), (103, "")]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(*r, "own") for r in rows], "doc_id long, text string, license string")).collect()}
+    for i, n in enumerate(names):
+        assert (got[2 * i].license, got[2 * i].dice, got[2 * i].n_words) == (n, 1.0, len(license_scan.words(full[n])))
+        assert n in got[2 * i + 1].licenses and got[2 * i + 1].dice > 0.8  # a notice within the text may have more, as it has no changed word
+    assert {"MPL-2.0", "Apache-2.0"} <= set(got[100].licenses)
+    assert "GPL-3.0" not in got[101].licenses and got[102].license is None and got[103].licenses == []
+
+
+def test_memory_grows_with_the_texts():
+    """A thousand templates of a thousand words of their own: no table of all pairs of words."""
+    templates = tuple((f"t{k}", " ".join(f"w{k}x{i}" for i in range(1000))) for k in range(1000))
+    x = license_scan.Templates(templates, 0.8)
+    assert sum(a.nbytes for a in (x.gram, x.first, x.holder)) < 50 << 20
+    assert [f[:2] for f in x.find("a " + templates[7][1])] == [(1.0, 7)]
