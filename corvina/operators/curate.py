@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from corvina import rules
 from corvina.functions import records as R
 from corvina.functions import text as T
+from corvina.sources.readers import PLACE, last_line
 
 
 def empty_array() -> Column:
@@ -37,9 +38,15 @@ def project(raw: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
 
 
 def subject_table(csv: DataFrame) -> DataFrame:
-    """(src, subject, domains) from the table of subjects; of equal keys the last in order of domains."""
-    rows = csv.select(F.col("來源").alias("src"), F.col("原始科別").alias("subject"), T.non_empty(F.split(F.coalesce("標準領域", F.lit("")), "、")).alias("domains"))
-    return rows.groupBy("src", "subject").agg(F.max("domains").alias("domains"))
+    """(src, subject, domains) from the table of subjects; of equal keys the last line, or without places of lines the last in order
+    of domains."""
+    domains = T.non_empty(F.split(F.coalesce("標準領域", F.lit("")), "、"))
+    rows = csv.withColumns({"src": F.col("來源"), "subject": F.col("原始科別"), "domains": domains})
+    return last_line(rows.select("src", "subject", "domains", *places(csv)), ["src", "subject"], "domains")
+
+
+def places(rows: DataFrame) -> list[str]:
+    return [c for c in PLACE if c in rows.columns]
 
 
 def codes(works: DataFrame, filenames: DataFrame, file_codes: DataFrame) -> DataFrame:
@@ -83,10 +90,10 @@ def stages(works: DataFrame, groups: DataFrame | None = None) -> DataFrame:
 
 def official_awards(works: DataFrame, official: DataFrame) -> DataFrame:
     """Ranks and special awards from the official list, by edition and code; of works with one key that with the
-    largest id. Later rows of the list are told by the order of their award's text."""
+    largest id. Of lines with one key the last counts, or without places of lines the last in order of the award's text."""
     fixed = F.replace(F.replace(F.replace("名次", F.lit("最佳(鄉土)教材獎"), F.lit("最佳鄉土教材獎")), F.lit("(鄉土)教材獎"), F.lit("最佳鄉土教材獎")), F.lit("奬"), F.lit("獎"))
-    listed = official.select(F.regexp_extract("屆次", r"(\d+)", 1).try_cast("int").alias("edition_no"), F.col("作品編號").alias("code"), fixed.alias("official"))
-    listed = listed.groupBy("edition_no", "code").agg(F.max("official").alias("official"))
+    listed = official.select(F.regexp_extract("屆次", r"(\d+)", 1).try_cast("int").alias("edition_no"), F.col("作品編號").alias("code"), fixed.alias("official"), *places(official))
+    listed = last_line(listed, ["edition_no", "code"], "official")
     target = works.filter(F.coalesce("code", F.lit("")) != "").groupBy("edition_no", "code").agg(F.max("id").alias("id"))
     hit = target.join(listed, ["edition_no", "code"]).select("id", "official", R.award(F.col("official")).alias("_o"))
     out = works.join(hit, "id", "left")
@@ -108,6 +115,15 @@ def related(works: DataFrame) -> DataFrame:
     return works.join(key.join(other, ["_k", "src"]).select("id", "related"), "id", "left")
 
 
+def title_classes(works: DataFrame) -> DataFrame:
+    """(id, src, class_id, n_national, n_international): works whose title is in both contests, class_id the least id of the title's
+    works. A row for each work however common its title, in place of the arrays of :func:`related`; counts are summed before the shuffle."""
+    key = works.filter(F.col("type") == rules.WORK).select("id", "src", T.title_key(F.col("title")).alias("_k"))
+    national = F.count_if(F.col("src") == rules.NATIONAL)
+    classes = key.groupBy("_k").agg(F.min("id").alias("class_id"), national.alias("n_national"), (F.count("*") - national).alias("n_international"))
+    return key.join(classes.filter("n_national > 0 and n_international > 0"), "_k").select("id", "src", "class_id", "n_national", "n_international")
+
+
 def quality_report(works: DataFrame) -> DataFrame:
     """(report, src, value, n): counts of works by source of stage, stage, subject without domain, rank and special award, and of
     national works without a city. One pass over the works: each row adds to the reports that it concerns."""

@@ -255,6 +255,31 @@ def meta_line() -> Column:
     return F.concat_ws(" · ", "src", F.col("year").cast("string"), F.when(F.col("src") == rules.NATIONAL, T.none_if_empty(F.split_part("edition", F.lit("--"), F.lit(1)))), guess, T.none_if_empty(F.col("subject")), F.when(~F.col("rank").eqNullSafe(rules.UNAWARDED), T.none_if_empty(award)), T.none_if_empty(F.col("school")))
 
 
+#: What the detail view says of a stage's source, and of what a record doesn't have.
+STAGE_NOTES = (("作品編號", "取自官方作品編號"), ("官網組別", "取自官網組別"), ("官網科別", "取自官網科別"), ("推測", "本站依學校名稱推測"))
+UNMARKED, NO_SUBJECT, NO_ABSTRACT = "未標示", "（未填）", "這件作品沒有摘要。"
+
+
+def detail_fields(works: DataFrame) -> DataFrame:
+    """(id, at, label, value): the lines of a work's detail view in order, for all works; lines without a value are left out. Values are
+    plain text, notes in brackets. Null fields are as empty ones. No shuffle."""
+    has = lambda c: T.none_if_empty(F.col(c) if isinstance(c, str) else c)
+    noted = lambda value, note: F.concat(value, F.coalesce(F.concat(F.lit("（"), note, F.lit("）")), F.lit("")))
+    listing = lambda c, sep="、": has(F.array_join(c, sep))
+    domains = F.concat(F.lit("領域："), listing("domains"))
+    award = has(F.concat_ws("・", "rank", *[has(F.array_join("special", "・"))]))
+    when = F.when(F.col("src") == rules.NATIONAL, has("edition")).otherwise(F.concat(F.col("year").cast("string"), F.lit(" 年")))
+    stage = F.coalesce(has("stage_detail"), has("stage"))
+    lines = (
+        ("編號", F.coalesce(F.concat(F.lit("作品編號 "), has("code")), F.concat(F.lit("SID "), F.col("id").cast("string")))), ("作品", has("title")), ("來源", F.concat_ws("・", "src", when)),
+        ("學習階段", F.coalesce(noted(stage, T.lookup(F.col("stage_src"), STAGE_NOTES)), F.lit(UNMARKED))), ("科別", noted(F.coalesce(has("subject"), F.lit(NO_SUBJECT)), domains)),
+        ("得獎", F.coalesce(award, F.lit(UNMARKED))), ("出國代表", listing("rep", "；")), ("學校", has(F.concat_ws(" ", has("school"), has("city")))), ("指導老師", listing("teachers")),
+        ("關鍵字", listing("keywords")), ("摘要或動機", F.coalesce(has("abstract"), F.lit(NO_ABSTRACT))), ("下載", has("pdf")), ("原始頁面", has("url")),
+    )
+    rows = F.array(*(F.struct(F.lit(i).alias("at"), F.lit(n).alias("label"), v.alias("value")) for i, (n, v) in enumerate(lines)))
+    return works.select("id", F.inline(F.filter(rows, lambda x: x["value"].isNotNull())))
+
+
 def detail(works: DataFrame, id_: int, similar: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The work of an id, and its neighbours and related works in order, as far as they are in the table."""
     one = works.filter(F.col("id") == id_)

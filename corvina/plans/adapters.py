@@ -64,5 +64,9 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def official(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list of a half of the works that have a code by their file name."""
-    names = filenames(spark, sf_dir).filter(F.col("sid") % 2 == 0)
-    return names.select(F.concat(F.lit("第"), (1974 + F.col("sid") % 52 - 1960).cast("string"), F.lit("屆")).alias("屆次"), F.substring("filename", 12, 6).alias("作品編號"), pick(OFFICIAL, F.col("sid")).alias("名次"), F.lit("").alias("作品名稱"), F.lit("").alias("儲存檔名"))
+    return official_lines(filenames(spark, sf_dir).filter(F.col("sid") % 2 == 0)).drop("sid")
+
+
+def official_lines(names: DataFrame) -> DataFrame:
+    """A line of the list for each file name, behind the work's id."""
+    return names.select("sid", F.concat(F.lit("第"), (1974 + F.col("sid") % 52 - 1960).cast("string"), F.lit("屆")).alias("屆次"), F.substring("filename", 12, 6).alias("作品編號"), pick(OFFICIAL, F.col("sid")).alias("名次"), F.lit("").alias("作品名稱"), F.lit("").alias("儲存檔名"))

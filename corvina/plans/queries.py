@@ -611,9 +611,29 @@ select kind, "at", w.id, title, src, year from links join works w on w.id = o"""
 def detail_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a work that has neighbours and works of the same title in the other contest."""
     linked = curate.related(works(spark, sf_dir))
-    return search.detail(linked, DETAIL, similar.similar(linked))[1]
+    return search.detail(linked, DETAIL, similar.similar_to(linked, DETAIL))[1]
 
 
+@query(f"""with {S.WORKS}, {S.CASCADE}, {S.parse('works', 'award_raw')}, w as (select p.* exclude (id), p.id, f.code, f.stage, f.stage_src, f.stage_detail, {S.city('school')} as city from parsed p join final f on p.id = f.id),
+d as (select id, unnest([
+ {{'at': 0, 'label': '編號', 'value': case when code <> '' then '作品編號 ' || code else 'SID ' || id end}}, {{'at': 1, 'label': '作品', 'value': title}},
+ {{'at': 2, 'label': '來源', 'value': src || coalesce('・' || case when src = '全國' then nullif(edition, '') else year || ' 年' end, '')}},
+ {{'at': 3, 'label': '學習階段', 'value': coalesce(coalesce(stage_detail, stage) || case stage_src when '作品編號' then '（取自官方作品編號）' when '官網組別' then '（取自官網組別）' when '官網科別' then '（取自官網科別）' when '推測' then '（本站依學校名稱推測）' else '' end, '未標示')}},
+ {{'at': 4, 'label': '科別', 'value': case when coalesce(subject, '') = '' then '（未填）' else subject end || coalesce('（領域：' || domain || '）', '')}},
+ {{'at': 5, 'label': '得獎', 'value': coalesce(nullif(concat_ws('・', rank, nullif(array_to_string(special, '・'), '')), ''), '未標示')}}, {{'at': 6, 'label': '出國代表', 'value': array_to_string(rep, '；')}},
+ {{'at': 7, 'label': '學校', 'value': concat_ws(' ', nullif(school, ''), city)}}, {{'at': 8, 'label': '指導老師', 'value': array_to_string(teachers, '、')}}, {{'at': 9, 'label': '關鍵字', 'value': array_to_string(keywords, '、')}},
+ {{'at': 10, 'label': '摘要或動機', 'value': coalesce(nullif(abstract, ''), '這件作品沒有摘要。')}}, {{'at': 11, 'label': '下載', 'value': pdf}},
+ {{'at': 12, 'label': '原始頁面', 'value': 'https://www.ntsec.edu.tw/science/detail.aspx?a=' || case when src = '全國' then '21' else '90' end || '&sid=' || id}}], recursive := true) from w)
+select id, "at", label, md5(value) as value_md5 from d where coalesce(value, '') <> ''""")
+def detail_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.detail_fields(full(spark, sf_dir)).select("id", "at", "label", F.md5("value").alias("value_md5"))
+
+
+@query(f"""with {S.WORKS}, k as (select id, src, lower({S.letters('title')}) as k from works where type = '作品'), c as (select k, min(id) as class_id, count(*) filter (src = '全國') as n_national, count(*) filter (src <> '全國') as n_international from k group by k)
+select id, src, class_id, n_national, n_international from k join c using (k) where n_national > 0 and n_international > 0""")
+def related_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curate.title_classes(works(spark, sf_dir))
+
 # ---- files that are written and read back --------------------------------------------------------------------------
 
 
@@ -669,6 +689,39 @@ def official_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.csv(spark, path, rows.schema).select(F.col("屆次").alias("edition"), F.col("作品編號").alias("code"), F.col("名次").alias("award"))
 
 
+@query(SQL["award_override"].replace("max(award) as award", "arg_max(award, id) as award").replace("select 14 + id % 52 as edition_no", "select id, 14 + id % 52 as edition_no"))
+def official_last_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list with two lines of each work in files of its own: the last line counts, an earlier one is wrong."""
+    path, schema = folder(spark), schemas.OFFICIAL
+    lines = A.official_lines(A.filenames(spark, sf_dir)).filter("sid % 2 = 0")
+    wrong = lines.withColumn("名次", A.pick(A.OFFICIAL, F.col("sid") + 1))
+    for i, part in enumerate((wrong, lines)):
+        part.orderBy("sid").drop("sid").write.option("header", True).csv(f"{path}/{i}")
+    coded = curate.codes(works(spark, sf_dir), A.filenames(spark, sf_dir), A.file_codes(spark, sf_dir))
+    return curate.official_awards(coded, readers.csv(spark, f"{path}/*", schema, place=True)).select("id", "rank", joined("special").alias("special"), "award_src")
+
+
+@query(f"with {S.RAW}, l as (select sid, case when sid % 4 <> 0 then '全國' else '國際' end as src, subj, {S.pick(('物理', '化學、生物', '', '資訊、、數學'), 'sid // 9')} as d from raw) select src, subj as subject, list_filter(string_split(arg_max(d, sid), '、'), lambda x: x <> '')::varchar as domains from l group by 1, 2")
+def subject_last_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of subjects with a line for each record, in order of the records."""
+    path, i = folder(spark), F.col("sid")
+    domains = A.pick(("物理", "化學、生物", "", "資訊、、數學"), F.floor(i / 9))
+    lines = A.raw(spark, sf_dir).select(i, F.when(i % 4 != 0, "全國").otherwise("國際").alias("來源"), F.col("科別").alias("原始科別"), domains.alias("標準領域"))
+    lines.orderBy("sid").drop("sid").write.option("header", True).csv(path)
+    table = curate.subject_table(readers.csv(spark, path, schemas.SUBJECTS, place=True))
+    return table.select("src", "subject", F.concat(F.lit("["), F.array_join("domains", ", "), F.lit("]")).alias("domains"))
+
+
+PATCHES = {0: {"指導老師": "甲"}, 3: {"學校名稱": "乙校", "關鍵字": "丙"}, 16: {"學校名稱": "丁校"}, 17: {"學校名稱": "戊校"}}
+
+
+@query(f"with {S.RAW} select sid, case when sid = 3 and coalesce(sch, '') = '' then '乙校' when sid = 16 and coalesce(sch, '') = '' then '丁校' when sid = 17 and coalesce(sch, '') = '' then '戊校' else sch end as school, case when sid = 0 and coalesce(teach, '') = '' then '甲' else teach end as teachers, case when sid = 3 and coalesce(kw, '') = '' then '丙' else kw end as keywords from raw")
+def patched_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing fields of single records set from a table; fields that are there stay."""
+    out = readers.patched(A.raw(spark, sf_dir), PATCHES)
+    return out.select("sid", F.col("學校名稱").alias("school"), F.col("指導老師").alias("teachers"), F.col("關鍵字").alias("keywords"))
+
+
 @query("select n_nationkey::bigint as sid, n_name as value from nation")
 def map_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file that is one JSON object; of nations, as such a file is read by one task."""

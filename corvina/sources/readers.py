@@ -50,9 +50,22 @@ def json_array(spark: SparkSession, path: str | list[str], schema: T.StructType)
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """With a header; a byte order mark is skipped by the reader."""
-    return spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").csv(path)
+#: Where a line stands: its file, the split of it, and the place in that.
+PLACE = ("_file", "_block", "_line")
+
+
+def csv(spark: SparkSession, path: str, schema: T.StructType, place: bool = False) -> DataFrame:
+    """With a header; a byte order mark is skipped by the reader. place: with the columns PLACE, for tables of which the last line of a
+    key counts."""
+    rows = spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").csv(path)
+    if not place:
+        return rows
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+
+
+def last_line(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The last row of each key by place, if the rows have one, else by the order given."""
+    return last_wins(rows, keys, *(PLACE if set(PLACE) <= set(rows.columns) else order)).drop(*PLACE)
 
 
 def documents(spark: SparkSession, path: str, content: bool = False) -> DataFrame:

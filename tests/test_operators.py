@@ -615,6 +615,53 @@ def test_posting_lists(spark, tmp_path, monkeypatch):
     assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_nearest_is_a_part_of_neighbours(spark):
+    rng = random.Random(5)
+    v = [(i, f"t{t}", rng.random(), r) for i in range(40) for r, t in enumerate(rng.sample(range(25), rng.randrange(1, 9)), 1)]
+    vectors = spark.createDataFrame(v, "id long, token string, x double, rank int")
+    keys = spark.createDataFrame([(i, f"k{i % 11}" if i % 4 else None) for i in range(42)], "id long, key string")
+    every = [tuple(r) for r in similar.neighbours(vectors, keys, top=3, block=16).collect()]
+    for i in (0, 7, 24, 41, 99):
+        assert sorted(tuple(r) for r in similar.nearest(vectors, keys, i, top=3).collect()) == sorted(r for r in every if r[0] == i)
+
+
+def test_last_line_of_a_key(spark, tmp_path):
+    """Lines in order within a file and of files by name; keys that are null, tables without places of lines, empty tables."""
+    from corvina import schemas
+
+    (tmp_path / "1.csv").write_text("屆次,作品編號,名次,作品名稱,儲存檔名\n第56屆,030001,第三名,,\n第56屆,030001,佳作,,\n第57屆,030002,第一名,,\n,,第一名,,\n", encoding="utf-8-sig")
+    (tmp_path / "2.csv").write_text("屆次,作品編號,名次,作品名稱,儲存檔名\n第57屆,030002,第二名,,\n", encoding="utf-8")
+    w = works(spark, [dict(code="030001", edition_no=56), dict(code="030002", edition_no=57), dict(code=None)])
+    ranks = lambda o: [r["rank"] for r in curate.official_awards(w, o).orderBy("id").collect()]
+    listed = readers.csv(spark, str(tmp_path), schemas.OFFICIAL, place=True)
+    assert ranks(listed) == ["佳作", "第二名", None] and ranks(listed.limit(0)) == [None] * 3
+    assert ranks(readers.csv(spark, str(tmp_path), schemas.OFFICIAL)) == ["第三名", "第二名", None]
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "1.csv").write_text("來源,原始科別,標準領域\n全國,生物,物理\n全國,生物,\n國際,生物,物理、化學\n", encoding="utf-8")
+    table = curate.subject_table(readers.csv(spark, str(tmp_path / "s"), schemas.SUBJECTS, place=True))
+    assert {(r.src, r.subject): r.domains for r in table.collect()} == {("全國", "生物"): [], ("國際", "生物"): ["物理", "化學"]}
+
+
+def test_title_classes(spark):
+    """One title that is common, one of one contest, a review, no title; the same links as the arrays have."""
+    rows = [dict(title="Ａ b!" if i % 2 else "ａB", src="國際" if i % 3 == 0 else "全國") for i in range(30)] + [dict(title="only"), dict(title="only"), dict(title="ab", type="評語"), dict(title=None)]
+    w = works(spark, rows)
+    classes = {r.id: r for r in curate.title_classes(w).collect()}
+    arrays = {r.id: r.related for r in curate.related(w).collect() if r.related}
+    assert classes.keys() == arrays.keys()
+    for i, c in classes.items():
+        assert len(arrays[i]) == (c.n_international if c.src == "全國" else c.n_national) and c.class_id == min(i for i in arrays if classes[i].class_id == c.class_id)
+
+
+def test_detail_fields(spark):
+    w = works(spark, [dict(title="t", src="國際", year=2001, stage="高中職", stage_detail="高職", stage_src="推測", special=["x"], domains=["生物", "化學"], city="臺北市", school="s"), dict(src="全國", title=None, school=None, url=None)])
+    got = {}
+    for r in search.detail_fields(w.withColumn("rep", F.array().cast("array<string>"))).orderBy("id", "at").collect():
+        got.setdefault(r.id, []).append((r.label, r.value))
+    assert got[0] == [("編號", "SID 0"), ("作品", "t"), ("來源", "國際・2001 年"), ("學習階段", "高職（本站依學校名稱推測）"), ("科別", "（未填）（領域：生物、化學）"), ("得獎", "x"), ("學校", "s 臺北市"), ("摘要或動機", "這件作品沒有摘要。"), ("原始頁面", "u")]
+    assert got[1] == [("編號", "SID 1"), ("來源", "全國"), ("學習階段", "未標示"), ("科別", "（未填）"), ("得獎", "未標示"), ("摘要或動機", "這件作品沒有摘要。")]
+
+
 def test_statistics_order(spark):
     w = works(spark, [dict(src="國際", edition="2000", year=2000), dict(edition="b", year=1999), dict(edition="a", year=1990), dict(edition="a", year=1990, type="評語")])
     out = [tuple(r) for r in export.statistics(w, F.lit(True), F.lit(False)).collect()]
