@@ -662,7 +662,7 @@ def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = rows.filter("sid % 4 = 1").withColumn("作品名稱", F.concat(F.lit("old "), "作品名稱"))
     for lines in (early, rows):
         lines.write.mode("append").option("ignoreNullFields", True).json(f"{path}/in")
-        ingest.start(spark, f"{path}/in", f"{path}/out", f"{path}/offsets", fan=2, files=4).awaitTermination()
+        ingest.start(spark, f"{path}/in", f"{path}/out", f"{path}/offsets", files=4).awaitTermination()
     return ingest.records(spark, f"{path}/out").select("sid", F.col("作品名稱").alias("title"), F.md5("摘要或動機").alias("text_md5"), F.size("檔案連結").alias("files"))
 
 

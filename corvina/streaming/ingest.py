@@ -1,7 +1,7 @@
 """The crawl log as a stream: the last line of a sid counts, by epoch, then by file and place in it.
 
-Each epoch writes a run: the last lines of the sids that its batch has, and no others. Every ``fan`` runs of one length are merged to a
-longer one, so a line is written once for each power of ``fan`` up to the number of epochs, however large the table is. A run is named
+Each epoch writes a run: the titled lines of its batch as they come, without a shuffle. Every ``fan`` runs of one length are merged to a
+longer one, which has the last line of each sid, so a line is written once for each power of ``fan`` up to the number of epochs, however large the table is. A run is named
 by the epochs it spans and complete when it has its mark of success, so an epoch that is given again, or a merge that was broken
 off, is written anew and changes nothing."""
 
@@ -22,10 +22,10 @@ ORDER = ("_epoch", "_file", "_block", "_line")
 
 
 def batch_run(lines: DataFrame, epoch: int) -> DataFrame:
-    """The last titled line of each sid in a batch (value, _file, _block), with its place. Lines that aren't JSON have no title."""
+    """The titled lines of a batch (value, _file, _block), each with its place. Lines that aren't JSON have no title."""
     rows = lines.withColumns({"_line": F.monotonically_increasing_id(), "r": F.from_json("value", schemas.RAW)})
     rows = rows.select("r.*", F.lit(epoch).cast("long").alias("_epoch"), "_file", "_block", "_line")
-    return last_wins(rows.filter(F.coalesce("作品名稱", F.lit("")) != ""), ["sid"], *ORDER)
+    return rows.filter(F.coalesce("作品名稱", F.lit("")) != "")
 
 
 def store_of(spark: SparkSession, target: str) -> tuple[JavaObject, JavaObject]:
@@ -93,11 +93,14 @@ def records(spark: SparkSession, target: str) -> DataFrame:
 
 
 def latest(spark: SparkSession, target: str) -> str | None:
-    """The folder of one run over all epochs, which is written if there are several; none before the first epoch."""
+    """The folder of one run over all epochs with a row for each sid, which is written if there is none; none before the first epoch."""
     runs = current(complete(spark, target))
     if not runs:
         return None
-    return place(target, runs[0] if len(runs) == 1 else merged(spark, target, runs))
+    if len(runs) > 1 or runs[0][0] < runs[0][1]:
+        return place(target, runs[0] if len(runs) == 1 else merged(spark, target, runs))
+    last_wins(spark.read.parquet(place(target, runs[0])), ["sid"], *ORDER).write.mode("overwrite").parquet(f"{target}/whole")  # of one epoch
+    return f"{target}/whole"
 
 
 def cleared(spark: SparkSession, target: str) -> list[str]:
