@@ -91,6 +91,17 @@ def test_hidden_markov_base(spark):
     assert hidden_markov.score(df, F.lit(True)).filter("score < 0 and base_score = 0 and n_known = 0").count() == len(rows)
 
 
+def test_base_score_of_a_long_text(spark):
+    """Known and unknown words, in great number: as exact as a short text."""
+    texts = ["w1 w2 " * 150_000, " ".join(f"u{i}" for i in range(150_000)), "w1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.base_score for r in hidden_markov.score(df, F.lit(False), symbols=2, buckets=4, known=2, shares=(1.0,)).collect()}
+    train = Counter(w for t in texts for w in [*t.split(), "\n"])
+    n, v = sum(train.values()), len(train)
+    for i, t in enumerate(texts):
+        assert math.isclose(got[i], math.fsum(math.log10((train[w] + 1) / (n + v + 1)) for w in [*t.split(), "\n"]), rel_tol=1e-14)
+
+
 def model(states=3, size=11, seed=1):
     rng = np.random.default_rng(seed)
     share = lambda *s: (x := rng.random(s)) / x.sum(-1, keepdims=True)
