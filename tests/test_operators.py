@@ -673,3 +673,19 @@ def test_pack_warning(spark):
     some = lambda n: w.filter(F.col("id") < n).select("id")
     warn = lambda ids, n: export.pack_warning(w, ids, some(n)).collect()[0].warning
     assert (warn(list(range(110)), 40), warn(list(range(110)), 5), warn([1, 2], 2)) == ("sections", "works", None)
+
+
+def test_sections_are_parsed_once(spark):
+    """Filters and repeated uses of the sections, and the plan as Spark optimises it, hold each way of numbering once."""
+    texts = spark.createDataFrame([(1, "壹、研究目的\n" + "甲" * 400 + "\n貳、研究方法\n" + "乙" * 90)], "sid long, text string")
+    authors = spark.createDataFrame([(1, "甲乙")], "sid long, authors string")
+    found = fulltext.extracted(texts)
+    before = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", 1 << 24)
+    try:
+        for df in (found, fulltext.redacted(found, authors), fulltext.average_chars(fulltext.report(found))):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("[壹貳參参肆伍陸柒捌玖拾]{1,3}") == 1
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", before)
+    assert [s.h for s in found.first().secs] == ["壹、研究目的", "貳、研究方法"]
