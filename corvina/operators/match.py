@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -46,28 +47,68 @@ def common_subsequence(places: dict[str, int], size: int, other: str) -> int:
     return size - v.bit_count()
 
 
+class Subsequences:
+    """Some texts, for the longest common subsequences of another text with all of them at once: the same bits, a word for each text."""
+
+    def __init__(self, keys: list[str]):
+        self.keys, self.sizes = keys, np.array([len(k) for k in keys], np.int64)
+        codes = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.chars, number = np.unique(codes, return_inverse=True)
+        # a row for each place in the texts; behind a text's end a character that no text has
+        self.at = np.full((int(self.sizes.max(initial=0)), len(keys)), len(self.chars), np.int32)
+        of = np.repeat(np.arange(len(keys)), self.sizes)
+        self.at[np.arange(len(of)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes), of] = number
+
+    def common(self, text: str, some: np.ndarray | slice) -> np.ndarray:
+        """The lengths for the texts at the places ``some``."""
+        sizes, at = self.sizes[some], self.at[:, some]
+        if len(text) > 64:
+            places: dict[str, int] = {}
+            for i, c in enumerate(text):
+                places[c] = places.get(c, 0) | 1 << i
+            return np.array([common_subsequence(places, len(text), self.keys[i]) for i in np.arange(len(self.keys))[some].tolist()], np.int64)
+        bits = np.zeros(len(self.chars) + 1, np.uint64)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        where = np.searchsorted(self.chars, codes)
+        for i, (n, c) in enumerate(zip(where.tolist(), codes.tolist(), strict=True)):
+            if n < len(self.chars) and self.chars[n] == c:
+                bits[n] |= np.uint64(1 << i)
+        v = np.full(len(sizes), (1 << 64) - 1, np.uint64)
+        u, w = np.empty_like(v), np.empty_like(v)
+        for row in at[: int(sizes.max(initial=0))]:
+            np.take(bits, row, out=u, mode="clip")
+            np.bitwise_and(u, v, out=u)
+            np.add(v, u, out=w)
+            np.subtract(v, u, out=v)
+            np.bitwise_or(v, w, out=v)
+        return len(text) - np.bitwise_count(v & np.uint64((1 << len(text)) - 1)).astype(np.int64)
+
+
 class Titles:
     """Some titles of an edition, for the question which of them are likest to another. What can't reach a ratio is left out by what
-    bounds it from above: twice the characters that two titles have in common over all characters (by counts in 128 classes, for all
-    titles at once), then the same of their longest common subsequence, as the matcher's blocks are one."""
+    bounds it from above: twice the characters that two titles can have in common over all characters, by their lengths (titles are
+    in order of these), then by their longest common subsequence, as the matcher's blocks are one."""
 
     def __init__(self, keys: list[str], works: list[int]):
-        self.keys, self.works = keys, works
-        self.sizes, self.counts = np.array([len(k) for k in keys]), np.stack([Pool.classes(k) for k in keys])
+        order = sorted(range(len(keys)), key=lambda i: len(keys[i]))
+        self.keys, self.works = [keys[i] for i in order], [works[i] for i in order]
+        self.texts = Subsequences(self.keys)
 
     def likest(self, title: str, least: float) -> list[tuple[float, int]]:
         """(ratio, work) of the two likest from that ratio on; of equal ratios the least work first."""
-        both = np.maximum(1, self.sizes + len(title))
-        bound = 2 * np.minimum(self.counts, Pool.classes(title)).sum(1) / both
-        places: dict[str, int] = {}
-        for i, c in enumerate(title):
-            places[c] = places.get(c, 0) | 1 << i
+        both = np.maximum(1, self.texts.sizes + len(title))
+        near = np.flatnonzero(2 * np.minimum(self.texts.sizes, len(title)) / both >= least - 1e-9)
+        some = slice(near[0], near[-1] + 1) if len(near) else slice(0, 0)
+        bound = 2 * self.texts.common(title, some) / both[some]
+        near = np.flatnonzero(bound >= least - 1e-9)
         top: list[tuple[float, int]] = []
-        for i in np.flatnonzero(bound >= least - 1e-9).tolist():
-            if 2 * common_subsequence(places, len(title), self.keys[i]) / both[i] >= max(least, top[1][0] if len(top) > 1 else 0) - 1e-9:
-                r = SequenceMatcher(None, title, self.keys[i]).ratio()
-                if r >= least:
-                    top = sorted([*top, (r, self.works[i])], key=lambda x: (-x[0], x[1]))[:2]
+        for j in near[np.argsort(-bound[near], kind="stable")].tolist():
+            if bound[j] < (top[1][0] if len(top) > 1 else 0) - 1e-9:
+                break
+            i = some.start + j
+            r = SequenceMatcher(None, title, self.keys[i]).ratio()
+            if r >= least:
+                top = sorted([*top, (r, self.works[i])], key=lambda x: (-x[0], x[1]))[:2]
         return top
 
 
@@ -146,59 +187,90 @@ def file_codes(found: DataFrame) -> DataFrame:
 
 
 class Pool:
-    """The free works of an edition, by the letters of their titles. The likest two are found by an upper bound first (the
-    characters that two titles have in common), so that few pairs are aligned."""
+    """The free works of an edition, by the letters of their titles. Equal titles and equal beginnings are found by tables; whether
+    one work is likest with some lead is told by upper bounds (longest common subsequences, for all works at once), so that few
+    pairs are aligned, most often two."""
 
     def __init__(self, ids: list[int], keys: list[str]):
         self.ids, self.keys, self.free = ids, keys, np.ones(len(ids), bool)
-        self.sizes = np.array([len(k) for k in keys], np.int64)
-        self.chars = np.stack([self.classes(k) for k in keys]) if keys else np.zeros((0, 128), np.int64)
-
-    @staticmethod
-    def classes(key: str) -> np.ndarray:
-        return np.bincount(np.frombuffer(key.encode("utf-32-le", "surrogatepass"), np.uint32) % 128, minlength=128)
-
-    def likest(self, title: str) -> tuple[int, float, float]:
-        """The place of the work with the greatest ratio (the first of equal ones), that ratio, and the next one's."""
-        bound = np.where(self.free, 2 * np.minimum(self.chars, self.classes(title)).sum(1) / np.maximum(1, self.sizes + len(title)), -1)
-        top: list[tuple[float, int]] = []
-        for i in np.argsort(-bound, kind="stable").tolist():
-            if bound[i] < 0 or len(top) > 1 and bound[i] < top[1][0]:
-                break
-            top = sorted([*top, (SequenceMatcher(None, title, self.keys[i]).ratio(), -i)], reverse=True)[:2]
-        (first, at), (second, _) = (top + [(0.0, 0)] * 2)[:2]
-        return -at, first, second
-
-    def those(self, holds: Callable[[str], bool]) -> list[int]:
-        return [i for i in np.flatnonzero(self.free).tolist() if holds(self.keys[i])]
+        self.left, self.texts, self.same, self.begun = len(ids), Subsequences(keys), {}, {}
+        for i, k in enumerate(keys):
+            self.same.setdefault(k, []).append(i)
+            self.begun.setdefault(k[:5], []).append(i)
+        self.rest = np.arange(len(ids))
+
+    def bounds(self, title: str) -> tuple[np.ndarray, np.ndarray]:
+        """The free works' places in the order of their bounds (of equal ones the first work first), and the bounds."""
+        if 2 * self.left < len(self.rest):  # a smaller table of texts
+            self.rest = self.rest[self.free[self.rest]]
+            self.texts = Subsequences([self.keys[i] for i in self.rest.tolist()])
+        here = np.flatnonzero(self.free[self.rest])
+        bound = 2 * self.texts.common(title, here) / np.maximum(1, self.texts.sizes[here] + len(title))
+        order = np.argsort(-bound, kind="stable")
+        return self.rest[here[order]], bound[order]
+
+    def leads(self, title: str, bounds: tuple[np.ndarray, np.ndarray], least: float, margin: float) -> int | None:
+        """The place of the work with the greatest ratio (the first of equal ones) if it is ``least`` at least, and ``margin`` over
+        the next one's. Ratios are compared with bounds only where either decides: the works that are left can't come
+        near the lead, or can't get one."""
+        first, at, second = -1.0, None, 0.0
+        for i, bound in zip(*(x.tolist() for x in bounds), strict=True):
+            if max(first, bound) < least:
+                return None
+            if first >= 0:
+                if bound < first and first - max(bound, second) >= margin:
+                    break
+                if first - second < margin and bound - first < margin:
+                    return None
+            r = SequenceMatcher(None, title, self.keys[i]).ratio()
+            if r > first or (r == first and i < at):
+                first, at, second = r, i, max(first, second)
+            else:
+                second = max(second, r)
+        return at if first >= least and first - second >= margin else None
+
+    def those(self, relation: str, title: str) -> list[int]:
+        """The places of the first free works in that relation to a title, two at most. The tables have free works only."""
+        free, keys = self.free, self.keys
+        if relation == "same":
+            return self.same.get(title, [])[:1]
+        if relation == "begun":
+            return list(islice((i for b, places in self.begun.items() if b.startswith(title[:5]) or title.startswith(b) for i in places), 2))
+        return list(islice((i for i in self.rest.tolist() if (title in keys[i] or keys[i] in title) and free[i]), 2))
 
     def take(self, title: str) -> int | None:
         """The id of the work that a title goes to, which is then no longer free. ``RULES`` says which works a rule is about, from
         which length of title on, and, where only the likest may be taken, its least ratio and least lead."""
-        if not self.free.any():
+        if not self.left:
             return None
-        lead = None
-        for least_size, related, alone, least, margin in RULES:
-            found = self.those(lambda k, related=related: related(title, k)) if len(title) >= least_size else []
-            if not found or (alone and len(found) > 1):
+        bounds = None
+        for least_size, relation, alone, least, margin in RULES:
+            if len(title) < least_size:
+                continue
+            found = self.those(relation, title) if relation else None
+            if relation and (not found or (alone and len(found) > 1)):
                 continue
-            at = found[0]
+            at = found[0] if found else None
             if margin is not None:
-                lead = lead or self.likest(title)
-                if lead[0] not in found or lead[1] < least or lead[1] - lead[2] < margin:
+                bounds = bounds or self.bounds(title)
+                at = self.leads(title, bounds, least, margin)
+                if at is None or (found and at not in found):
                     continue
-                at = lead[0]
             self.free[at] = False
+            self.left -= 1
+            self.same[self.keys[at]].remove(at)
+            self.begun[self.keys[at][:5]].remove(at)
             return self.ids[at]
         return None
 
 
-#: Least length of the title, relation to a work's title, whether one work alone may have it, least ratio, least lead.
+#: Least length of the title, relation to a work's title (the same; one holds the other; one begins with the other's first five
+#: characters; any), whether one work alone may have it, least ratio, least lead.
 RULES = (
-    (0, lambda t, k: t == k, False, None, None),
-    (4, lambda t, k: t in k or k in t, True, None, None),
-    (2, lambda t, k: k.startswith(t[:5]) or t.startswith(k[:5]), True, 0.0, 0.1),
-    (0, lambda t, k: True, False, 0.5, 0.2),
+    (0, "same", False, None, None),
+    (4, "held", True, None, None),
+    (2, "begun", True, 0.0, 0.1),
+    (0, None, False, 0.5, 0.2),
 )
 
 

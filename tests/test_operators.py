@@ -689,3 +689,31 @@ def test_sections_are_parsed_once(spark):
     finally:
         spark.conf.set("spark.sql.maxPlanStringLength", before)
     assert [s.h for s in found.first().secs] == ["壹、研究目的", "貳、研究方法"]
+
+
+def test_few_pairs_are_aligned(monkeypatch):
+    """A file of an edition is aligned with few of its works: neither greedy assignment nor near titles compare all pairs."""
+    rng = random.Random(8)
+    keys = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", weights=range(26, 0, -1), k=50)) for _ in range(300)]
+    files, aligned = ["".join(c for i, c in enumerate(k) if i % 9 != 8) for k in keys], []
+
+    class Counted(SequenceMatcher):
+        def __init__(self, *args):
+            aligned.append(1)
+            super().__init__(*args)
+
+    monkeypatch.setattr(match, "SequenceMatcher", Counted)
+    pool = match.Pool(list(range(300)), keys)
+    assert [pool.take(f) for f in files] == list(range(300)) and pool.take(files[0]) is None
+    assert len(aligned) < 3 * 300
+
+
+@pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 200])
+def test_common_subsequences_of_all_at_once(size):
+    rng = random.Random(size)
+    keys = ["", "a", *("".join(rng.choices("ab\U0001f600水", k=rng.randint(0, 90))) for _ in range(30))]
+    own = "".join(rng.choices("abc水", k=size))
+    places = {c: sum(1 << i for i, x in enumerate(own) if x == c) for c in own}
+    want = [match.common_subsequence(places, size, k) for k in keys]
+    assert match.Subsequences(keys).common(own, np.arange(len(keys))).tolist() == want
+    assert match.Subsequences(keys).common(own, slice(3, 9)).tolist() == want[3:9]
