@@ -717,3 +717,24 @@ def test_common_subsequences_of_all_at_once(size):
     want = [match.common_subsequence(places, size, k) for k in keys]
     assert match.Subsequences(keys).common(own, np.arange(len(keys))).tolist() == want
     assert match.Subsequences(keys).common(own, slice(3, 9)).tolist() == want[3:9]
+
+
+def test_pages_in_bounded_memory(monkeypatch):
+    """What many pages take at a time is what a few take; the result doesn't depend on how they are cut."""
+    import tracemalloc
+
+    glyphs = fulltext.Glyphs({"的": 9, "水": 5})
+    number = {chr(x): i + glyphs.first for i, x in reversed(list(enumerate(glyphs.numbers.tolist()))) if x}
+    shifted = "".join(chr(number[c] + 436) for c in "的水" * 20)
+    plain = ["plain text " * 500] * 2000
+    tracemalloc.start()
+    try:
+        glyphs.decoded(plain)
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
+    pages = [shifted, "", "plain", shifted, "x" * 100, shifted]
+    whole = glyphs.decoded(pages)
+    assert whole == (["的水" * 20, "", "plain", "的水" * 20, "x" * 100, "的水" * 20], [True, False, False, True, False, True])
+    monkeypatch.setattr(fulltext, "AT_ONCE", 50)
+    assert glyphs.decoded(pages) == whole and glyphs.decoded([]) == ([], [])
