@@ -738,3 +738,19 @@ def test_pages_in_bounded_memory(monkeypatch):
     assert whole == (["的水" * 20, "", "plain", "的水" * 20, "x" * 100, "的水" * 20], [True, False, False, True, False, True])
     monkeypatch.setattr(fulltext, "AT_ONCE", 50)
     assert glyphs.decoded(pages) == whole and glyphs.decoded([]) == ([], [])
+
+
+def test_alignment_of_repeated_texts(monkeypatch):
+    """The matcher's own result, at a cost that grows with a text that repeats itself, which has no anchors, and not with its square."""
+    import time
+
+    rng = random.Random(4)
+    for large in (0, 1 << 15):
+        monkeypatch.setattr(fulltext, "LARGE", large)
+        for _ in range(150):
+            a, b = ("".join(rng.choices("ab" if rng.random() < 0.5 else "abcdefg", k=rng.randint(0, 60))) * rng.randint(1, 3) for _ in range(2))
+            assert fulltext.Aligned(a, b).get_opcodes() == SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    line = "".join(rng.choices("abcdefghijkl", k=400))
+    good, start = line * 15, time.process_time()
+    found = fulltext.replaced(good.replace("e", "烉"), good)
+    assert set(found) == {("烉", "e")} and len(found) == good.count("e") and time.process_time() - start < 3
