@@ -280,9 +280,10 @@ def detail_fields(works: DataFrame) -> DataFrame:
     return works.select("id", F.inline(F.filter(rows, lambda x: x["value"].isNotNull())))
 
 
-def detail(works: DataFrame, id_: int, similar: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The work of an id, and its neighbours and related works in order, as far as they are in the table."""
+def detail(works: DataFrame, id_: int, similar: DataFrame, plain: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The work of an id, and its neighbours and related works in order, as far as they are in the table. plain: the works before
+    ``related`` was joined to them, if at hand, so that it is joined to the one work only."""
     one = works.filter(F.col("id") == id_)
     links = similar.filter(F.col("id") == id_).select(F.lit("similar").alias("kind"), F.col("rank").cast("int").alias("at"), F.col("other").alias("_o"))
     links = links.unionByName(one.select(F.lit("related").alias("kind"), F.posexplode("related").alias("at", "_o")))
-    return one, links.join(works.select(F.col("id").alias("_o"), "title", "src", "year"), "_o").select("kind", "at", F.col("_o").alias("id"), "title", "src", "year").orderBy("kind", "at")
+    return one, links.join((works if plain is None else plain).select(F.col("id").alias("_o"), "title", "src", "year"), "_o").select("kind", "at", F.col("_o").alias("id"), "title", "src", "year").orderBy("kind", "at")

@@ -754,3 +754,17 @@ def test_alignment_of_repeated_texts(monkeypatch):
     good, start = line * 15, time.process_time()
     found = fulltext.replaced(good.replace("e", "烉"), good)
     assert set(found) == {("烉", "e")} and len(found) == good.count("e") and time.process_time() - start < 3
+
+
+def test_detail_links_gather_titles_once(spark):
+    """Titles of both contests are gathered for the one work only, not again below its neighbours' texts."""
+    from corvina.plans import queries
+
+    df = queries.QUERIES["detail_links"](spark, "/root/testdata/sf0.001")
+    before = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", 1 << 24)
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", before)
+    assert plan.count("Relation [") <= 20  # 40 where the titles are gathered again
