@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import and_, or_
 from urllib.parse import parse_qs, urlencode
 from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,8 +100,10 @@ def scored(docs: DataFrame, req: SearchRequest) -> DataFrame:
 
 # ---- posting lists -------------------------------------------------------------------------------------------------
 
-#: Ids of one row of a posting list lie within a span; folders of the index, by a hash of the gram.
-SPAN, BUCKETS = 1 << 16, 64
+#: Ids of one row of a posting list lie within a span; folders of the index, by a hash of the gram, and parts of each that are made apart.
+SPAN, BUCKETS, PARTS = 1 << 16, 64, 16
+#: Characters, and entries (text, gram), that are sorted at once; the bits of a text's number.
+CHARS, ENTRIES, LOW = 1 << 21, 1 << 22, (1 << 20) - 1
 
 
 def term_grams(terms: list[str]) -> list[str]:
@@ -106,15 +111,53 @@ def term_grams(terms: list[str]) -> list[str]:
     return sorted({g for t in terms for g in ([t[i : i + 2] for i in range(len(t) - 1)] or [t])})
 
 
+def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, block, ids) for (id, text): the grams of each text once, put together for as many texts as make some millions of entries.
+    An entry is one number, of the gram's characters and the text's, so a sort is all it takes."""
+
+    def give() -> pa.RecordBatch:
+        known, rank = np.unique(np.array(ids, np.int64), return_inverse=True)
+        entries = np.concatenate(kept)
+        entries = np.unique((entries & ~LOW) | rank[entries & LOW])
+        gram, id_ = entries >> 20, known[entries & LOW]
+        block = id_ // SPAN
+        new = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])))
+        names, at = np.unique(gram[new], return_inverse=True)
+        words = pa.array([(chr((g >> 21) - 1) if g >> 21 else "") + chr(g & 0x1FFFFF) for g in names.tolist()], pa.string())
+        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(entries)), pa.int32()), pa.array(id_, pa.int64()))
+        return pa.RecordBatch.from_arrays([words.take(pa.array(at)), pa.array(block[new], pa.int64()), lists], ["gram", "block", "ids"])
+
+    ids, kept, waiting = [], [], 0
+    for b in batches:
+        texts, lo = b.column(1).to_pylist(), 0
+        upto = np.cumsum([len(t) for t in texts])
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + CHARS, "right")))
+            chars = np.frombuffer("".join(texts[lo:hi]).encode("utf-32-le"), np.uint32).astype(np.int64)
+            doc = np.repeat(np.arange(len(ids), len(ids) + hi - lo), [len(t) for t in texts[lo:hi]])
+            pairs = np.flatnonzero(doc[1:] == doc[:-1])
+            grams = np.concatenate([chars, (chars[pairs] + 1) << 21 | chars[pairs + 1]])
+            kept.append(np.unique(grams << 20 | np.concatenate([doc, doc[pairs]])))
+            ids += b.column(0)[lo:hi].to_pylist()
+            waiting += len(kept[-1])
+            lo = hi
+            if waiting > ENTRIES or len(ids) > LOW // 2:
+                yield give()
+                ids, kept, waiting = [], [], 0
+    if waiting:
+        yield give()
+
+
 def write_grams(docs: DataFrame, path: str) -> None:
     """The index of serving documents: (bucket, gram, block, ids), gram a character or a pair of neighbours, ids in order, at most a span of
-    them in a row however frequent the gram. A folder for each bucket, rows in order of gram, so that a search reads few row groups."""
-    chars = F.split(F.concat_ws("\n", "_t", "_k", "_o", "_a"), "")
-    pairs = F.zip_with("_c", F.slice("_c", 2, F.greatest(F.size("_c"), F.lit(1))), lambda a, b: F.concat(a, b))
-    grams = docs.filter("id is not null").select(F.col("id").cast("long").alias("id"), chars.alias("_c")).select("id", F.explode(F.array_distinct(F.concat("_c", F.filter(pairs, lambda x: x.isNotNull())))).alias("gram"))
-    rows = grams.groupBy("gram", F.floor(F.col("id") / SPAN).alias("block")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    placed = rows.withColumn("bucket", (F.crc32(F.encode("gram", "UTF-8")) % BUCKETS).cast("int"))
-    placed.repartitionByRange("bucket", "gram", "block").sortWithinPartitions("bucket", "gram", "block").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    them in a row however frequent the gram. A folder for each bucket, rows in order of gram, so that a search reads few row groups.
+    What is shuffled is the lists of many texts at once, not a row for each text and gram."""
+    texts = docs.filter("id is not null").select(F.col("id").cast("long").alias("id"), F.concat_ws("\n", "_t", "_k", "_o", "_a").alias("text"))
+    crc = F.crc32(F.encode("gram", "UTF-8"))
+    lists = texts.mapInArrow(postings, "gram string, block long, ids array<long>")
+    placed = lists.select((crc % BUCKETS).cast("int").alias("bucket"), (F.floor(crc / BUCKETS) % PARTS).cast("int").alias("part"), "gram", "block", "ids").repartition("bucket", "part")
+    rows = placed.groupBy("bucket", "part", "gram", "block").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids")).drop("part")
+    rows.sortWithinPartitions("bucket", "gram", "block").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def posted(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
