@@ -21,7 +21,7 @@ from corvina.operators.similar import tasks
 from corvina.functions.python import nfc, nfkc
 
 #: Titles of a block; titles whose subsequences are looked at together; bits for occurrences of characters, each for one and each for several.
-BLOCK, AT_ONCE, OWN, SHARED = 8192, 4096, 192, 128
+BLOCK, AT_ONCE, OWN, SHARED = 32768, 4096, 192, 128
 
 
 def parsed(files: DataFrame, name: str = "name") -> DataFrame:
@@ -137,10 +137,11 @@ class Alike:
 
     def __init__(self, keys: list[str]):
         self.keys, self.texts, self.occurrences = keys, Subsequences(keys), Occurrences(keys)
+        self.sizes = self.texts.sizes.astype(np.float32)
 
     def bounds(self, title: str, some: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
         """The characters in common at most, and all characters, by titles."""
-        return self.occurrences.common(title, some), self.texts.sizes[some] + len(title)
+        return self.occurrences.common(title, some), self.sizes[some] + np.float32(len(title))
 
     def forget(self, place: int) -> None:
         """From now on no other title has anything in common with the one there."""
@@ -150,8 +151,8 @@ class Alike:
     def reaching(self, title: str, bounds: tuple[np.ndarray, np.ndarray], ratio: float, start: int = 0) -> list[tuple[float, int]]:
         """(bound, place) of the titles that can reach it, greatest bounds first; bounds: of the titles from ``start`` on."""
         ratio -= 1e-9
-        near = np.flatnonzero(bounds[0] >= ratio / 2 * bounds[1])
-        bound = 2 * self.texts.common(title, near + start) / np.maximum(1, bounds[1][near])
+        near = np.flatnonzero(bounds[0] >= np.float32(ratio / 2 - 1e-6) * bounds[1])
+        bound = 2 * self.texts.common(title, near + start) / np.maximum(1, self.texts.sizes[near + start] + len(title))
         near, bound = near[bound >= ratio], bound[bound >= ratio]
         order = np.argsort(-bound, kind="stable")
         return list(zip(bound[order].tolist(), (near[order] + start).tolist(), strict=True))
@@ -167,18 +168,17 @@ class Titles:
     def likest(self, title: str, least: float, margin: float = 1.0) -> list[tuple[float, int]]:
         """(ratio, work) of the two likest from that ratio on; of equal ratios the least work first. What is less than the likest by more
         than ``margin`` may be missing."""
-        sizes = self.alike.texts.sizes
-        near = np.flatnonzero(2 * np.minimum(sizes, len(title)) >= (least - 1e-9) * (sizes + len(title)))
-        if not len(near):
+        far = (2 - least) / max(least, 1e-9)
+        start, end = np.searchsorted(self.alike.texts.sizes, [len(title) / far - 1e-6, len(title) * far + 1e-6]).tolist()
+        if start == end:
             return []
-        start = int(near[0])
-        bounds = self.alike.bounds(title, slice(start, int(near[-1]) + 1))
+        bounds = self.alike.bounds(title, slice(start, end))
         ratio = lambda i: SequenceMatcher(None, title, self.alike.keys[i]).ratio()
         first = int((bounds[0] / np.maximum(1, bounds[1])).argmax())
         known = {}
-        if 2 * bounds[0][first] >= (least - 1e-9) * bounds[1][first]:
+        if 2 * int(bounds[0][first]) >= (least - 1e-6) * float(bounds[1][first]):
             known[start + first] = ratio(start + first)
-        lowest = max(least, *(r - margin for r in known.values()), least)
+        lowest = max([least, *(r - margin for r in known.values())])
         top: list[tuple[float, int]] = []
         for bound, i in self.alike.reaching(title, bounds, lowest, start):
             if bound < (top[1][0] if len(top) > 1 else 0) - 1e-9:
@@ -191,12 +191,12 @@ class Titles:
 
 def likest_titles(files: DataFrame, index: DataFrame, least: float, margin: float, block: int) -> DataFrame:
     """(edition, key, r, by_title): for each key of files in each block of its edition's titles the two likest, as far as they are
-    within ``margin`` of the block's likest. An edition's titles, and
-    its files, are dealt to blocks of about ``block``, and each two are a group that one task streams, the titles first; so no pair is
+    within ``margin`` of the block's likest. An edition's titles are dealt to blocks of about ``block``,
+    its files to blocks of a fourth, and each two are a group that one task streams, the titles first; so no pair is
     a row, and an edition of any size is shared among tasks."""
     t = index.select("edition", "key", F.col("by_title").alias("work"))
     f = files.select("edition", "key").distinct().withColumn("work", F.lit(None).cast("long"))
-    n = [x.groupBy("edition").agg(F.ceil(F.count("*") / block).cast("int").alias(c)) for x, c in ((t, "nt"), (f, "nf"))]
+    n = [x.groupBy("edition").agg(F.ceil(F.count("*") / size).cast("int").alias(c)) for x, size, c in ((t, block, "nt"), (f, max(1, block // 4), "nf"))]
     parts = n[0].join(n[1], "edition")
     own = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
